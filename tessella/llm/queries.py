@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, mixing, quality, sharding
+from tessella.llm import bpe, language, mixing, quality, sharding, topk, vectors
 from tessella.llm.common import table
 
 SHARDS = 40
@@ -20,10 +20,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = topk.quantised(table(spark, sf_dir, "embeddings"))
+    return topk.search(found, found.where("vec_id % 50 = 0"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -40,7 +49,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op4_language, op6_quality, op7_bpe, op9_sharding)
+    f.__name__: f for f in (op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op9_sharding)
 }
 
 _MIXING = """
@@ -71,4 +80,32 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, ((floor(u + place * rate) - floor(u + (place - 1) * rate)) * size)::BIGINT AS taken FROM p
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": _MIXING}
+_TOPK = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s
+) WHERE rank <= 5
+"""
+
+_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r(a, b) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), g AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id)::BIGINT AS n_links, g.component_id, e.vec_id = g.component_id AS kept
+FROM embeddings e JOIN g USING (vec_id)
+"""
+
+ORACLES: dict[str, str] = {"op2_mixing": _MIXING, "op3_topk": _TOPK, "op5_vectors": _VECTORS}
