@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, mixing, quality, sharding, topk, vectors
+from tessella.llm import bpe, language, mixing, quality, sharding, suffixes, topk, vectors
 from tessella.llm.common import table
 
 SHARDS = 40
 
 
+def op1_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).select(
@@ -49,7 +53,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op9_sharding)
+    f.__name__: f for f in (op1_suffixes, op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op9_sharding)
 }
 
 _MIXING = """
