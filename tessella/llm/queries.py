@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, mixing, quality, sharding, suffixes, topk, vectors
+from tessella.llm import bpe, language, minhash, mixing, quality, sharding, suffixes, topk, vectors
 from tessella.llm.common import table
 
 SHARDS = 40
@@ -52,8 +52,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), now, sharding.add_shard(now, SHARDS))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), length=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffixes, op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op9_sharding)
+    f.__name__: f for f in (op1_suffixes, op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op9_sharding, op10_minhash)
 }
 
 _MIXING = """
