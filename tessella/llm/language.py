@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Hashed n-grams of letters, their lengths, and the weight that every n-gram has beforehand.
 FEATURES, LENGTHS, PRIOR = 1 << 14, (2, 3, 4), 0.5
@@ -113,14 +115,16 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[st
     are judged alike, an empty table gives no rows. Whole texts are read, long ones in pieces.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    added = [("lang_pred", T.StringType()), ("score", T.DoubleType()), ("ambiguous", T.BooleanType())]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [decide(sent.value, t) for t in batch[text_col]]
-            yield batch[list(keep)].assign(lang_pred=[f[0] for f in found], score=[f[1] for f in found], ambiguous=[f[2] for f in found])
+            found = [decide(sent.value, t.as_py()) for t in batch.column(len(keep))]
+            new = [pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[*keep, *(name for name, _ in added)])
 
-    return docs.select(*keep, text_col).mapInPandas(run, f"{schema}, lang_pred string, score double, ambiguous boolean")
+    schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(*x) for x in added)])
+    return docs.select(*keep, text_col).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,17 +90,18 @@ def _matrix(column) -> np.ndarray:
 def sketch(docs: DataFrame, length: int) -> DataFrame:
     """(id, n, s1, s2, regs): size, digest and registers of each row's shingle set."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(length)
-        for b in batches:
-            out = []
-            for t in b["text"]:
-                h = hasher(t)
-                out.append((len(h), int(mix64(h).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix64(h ^ np.uint64(0x5BD1E995))).astype(np.int64)) if len(h) else 0, registers(h).tobytes()))
-            if out:
-                yield pd.DataFrame(out, columns=["n", "s1", "s2", "regs"]).assign(id=b["id"].to_numpy())[["id", "n", "s1", "s2", "regs"]]
+        signed = lambda x: int(np.uint64(x).astype(np.int64))
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for t in batch.column(1):
+                h = hasher(t.as_py())
+                for to, value in zip(out, (len(h), signed(mix64(h).sum(dtype=np.uint64)), signed(np.bitwise_xor.reduce(mix64(h ^ np.uint64(0x5BD1E995)))), registers(h).tobytes()), strict=True):
+                    to.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out[:3], [pa.int64()] * 3), pa.array(out[3], pa.binary())], names=["id", "n", "s1", "s2", "regs"])
 
-    return docs.select("id", "text").mapInPandas(run, "id long, n long, s1 long, s2 long, regs binary")
+    return docs.select("id", "text").mapInArrow(run, "id long, n long, s1 long, s2 long, regs binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -233,4 +235,4 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that stand for their groups, with their columns; rows that link with nothing stay."""
     found = near_duplicates(docs, **options).where("kept").select(F.col(options.get("id_col", "doc_id")).alias("_kept")).distinct()
     key = docs[options.get("id_col", "doc_id")]
-    return docs.join(found, key.cast("long").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.join(found, key.cast("long").eqNullSafe(found["_kept"]), "left_semi")

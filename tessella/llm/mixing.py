@@ -48,20 +48,22 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix") -> DataFrame:
-    """docs with `_size`, `_source_size`, `_target` and `_copies`, the times the mix takes each document.
+    """docs with `_size`, `_source_size`, `_target` and `_copies`: the times the mix takes each document.
 
     Every document of a source has the same expected copies, target / source_size; the running sum of those, from one
     offset drawn for the source, crosses an integer once for each copy. Documents are summed in order of size, so sizes
     are sampled evenly too. A source may hold most rows: places are counted in (source, class of size, salt) and moved by
     the counts before them, a table of some 20,000 rows a source at most. Null texts have size 0, the null source is a
     source, rows that repeat an id are separate documents, sources without words get target 0 and no copies, an empty
-    table gives none. Other columns pass, unless named like the five added ones. Reruns agree.
+    table gives none. Other columns pass; those named like
+    the four added ones are replaced. Reruns agree.
     """
-    base = docs.withColumns({
-        "_size": word_count(F.col(text_col)), "_salt": _bits(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed)), 31) % SALTS,
-    }).withColumn("_class", size_class(F.col("_size")))
+    base = docs.select(
+        F.struct(*docs.columns).alias("row"), word_count(F.col(text_col)).alias("_size"), F.xxhash64(text_col).alias("_text"), F.col(id_col).alias("_id"),
+        F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name")).alias("_source"),
+        (_bits(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":" + seed)), 31) % SALTS).alias("_salt"),
+    ).withColumn("_class", size_class(F.col("_size")))
     part = ["_source", "_class", "_salt"]
-    base = base.withColumn("_source", F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name")))
     counts = base.groupBy(*part).agg(F.count("*").alias("n"), F.sum("_size").alias("words"))
     sizes = counts.groupBy("_source").agg(F.sum("words").alias("source_size")).withColumn("source", F.when(~F.col("_source.none"), F.col("_source.name")))
     goals = targets(sizes.select("source", "source_size"), weights, share, cap)
@@ -72,14 +74,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP
     )
     before = Window.partitionBy("_source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "words").join(goals, "_source")
-    place = F.row_number().over(Window.partitionBy(*part).orderBy(id_col, "_size", F.xxhash64(text_col)))
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("_id", "_size", "_text"))
     placed = base.withColumn("_place", place).join(starts, part)
     at = F.col("_start") + F.col("_place")
     copies = F.floor(F.col("_offset") + at * F.col("_rate")) - F.floor(F.col("_offset") + (at - 1) * F.col("_rate"))
-    return placed.withColumn("_copies", copies.cast("int")).drop(*part, "_place", "_start", "_rate", "_offset")
+    added = {"_size": F.col("_size"), "_source_size": F.col("_source_size"), "_target": F.col("_target"), "_copies": copies.cast("int")}
+    return placed.select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in added), *(c.alias(k) for k, c in added.items()))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as often as it is taken, with the columns of docs."""
     out = mix(docs, **options).where("_copies > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    return out.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).drop("_copy")

@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.language import held_out
 
@@ -56,13 +58,14 @@ def statistics(text: str | None) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> DataFrame:
     """`keep` columns with `stats`, an array of the NAMES."""
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch[list(keep)].assign(stats=[statistics(t) for t in batch[text_col]])
+            stats = [statistics(t.as_py()) for t in batch.column(len(keep))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(stats, pa.list_(pa.float64()))], names=[*keep, "stats"])
 
-    return docs.select(*keep, text_col).mapInPandas(run, f"{schema}, stats array<double>")
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("stats", T.ArrayType(T.DoubleType()))])
+    return docs.select(*keep, text_col).mapInArrow(run, schema)
 
 
 def train(stats: DataFrame) -> dict:
@@ -110,15 +113,14 @@ def density_score(model: dict, x: np.ndarray) -> np.ndarray:
 
 def score(stats: DataFrame, model: dict, keep: tuple[str, ...]) -> DataFrame:
     sent = stats.sparkSession.sparkContext.broadcast(model)
-    schema = ", ".join(f"`{c}` {stats.schema[c].dataType.simpleString()}" for c in keep)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                s = density_score(sent.value, np.vstack(batch["stats"].to_numpy()))
-                yield batch[list(keep)].assign(score=s, predicted=(s >= 0.5).astype(np.int32))
+            s = density_score(sent.value, np.array(batch.column(len(keep)).to_pylist(), float).reshape(-1, len(NAMES)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return stats.mapInPandas(run, f"{schema}, score double, predicted int")
+    schema = T.StructType([*(stats.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return stats.select(*keep, "stats").mapInArrow(run, schema)
 
 
 def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -149,9 +151,11 @@ def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     """The rows of docs that the model does not reject, with their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                yield batch[density_score(sent.value, np.vstack([statistics(t) for t in batch[text_col]])) >= 0.5]
+            s = density_score(sent.value, np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(NAMES)))
+            yield batch.filter(pa.array(s >= 0.5))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

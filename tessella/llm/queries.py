@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, minhash, mixing, quality, sharding, suffixes, topk, vectors
+from tessella.llm import bpe, language, minhash, mixing, passages, quality, sharding, suffixes, topk, vectors
 from tessella.llm.common import table
 
 SHARDS = 40
@@ -47,6 +47,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = sharding.first_map(spark, SHARDS)
     return sharding.shard(table(spark, sf_dir, "documents"), now, sharding.add_shard(now, SHARDS))
@@ -57,7 +61,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffixes, op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op9_sharding, op10_minhash)
+    f.__name__: f for f in (op1_suffixes, op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op8_passages, op9_sharding, op10_minhash)
 }
 
 _MIXING = """

@@ -7,8 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm import anchors
 from tessella.llm.common import stored
@@ -231,22 +233,37 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     numbers = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
     ident = F.coalesce(F.col(id_col).cast("long") if numbers else F.xxhash64(id_col), F.lit(-(2**63) + 1))
-    base = docs.withColumn("_id", ident).withColumn("_th", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    found = spans(base.select(F.col("_id").alias("id"), F.col("_th").alias("th"), F.col(text_col).alias("text")), window, **options)
-    found = found.select(F.col("id").alias("_id2"), F.col("th").alias("_th2"), F.col("spans").alias("_spans"))
-    joined = base.join(found, (F.col("_id") == F.col("_id2")) & (F.col("_th") == F.col("_th2")), "left").select(*docs.columns, "_spans")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-
-    def remove(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+    base = docs.select(F.struct(*docs.columns).alias("row"), ident.alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("text"))
+    found = spans(base.select("id", "th", "text"), window, **options).select(F.col("id").alias("id2"), F.col("th").alias("th2"), "spans")
+    joined = base.join(found, (F.col("id") == F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("row", "text", "spans")
+    ranges = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
+    schema = T.StructType([joined.schema["row"], T.StructField("_removed", ranges), T.StructField("_kept", T.BinaryType())])
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             removed, kept = [], []
-            for text, s in zip(b[text_col], b["_spans"], strict=True):
-                raw, cuts = _bytes(text), [] if s is None else merged(s)
+            for text, s in zip(batch.column(1), batch.column(2), strict=True):
+                raw, cuts = _bytes(text.as_py()), merged(s.as_py() or [])
                 removed.append([{"a": x, "b": y} for x, y in cuts])
                 kept.append(b"".join(raw[x:y] for x, y in zip([0, *(c[1] for c in cuts)], [*(c[0] for c in cuts), len(raw)], strict=True)))
-            yield b.drop(columns="_spans").assign(_removed=removed, _kept=kept)
+            kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["row", "_removed", "_kept"])
+
+    return joined.mapInArrow(remove, schema).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("_removed", "_kept")), "_removed", "_kept")
+
+
+def cleaned(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
+    """docs with the text that is left, and its length where docs have one. A character of which a byte is removed goes
+    as a whole; null texts stay null."""
+    out = without_repeats(docs, text_col=text_col, **options)
+    text = F.when(F.size("_removed") == 0, F.col(text_col)).otherwise(_decoded("_kept"))
+    new = {text_col: text} | ({chars_col: F.when(F.size("_removed") == 0, F.col(chars_col)).otherwise(F.length(_decoded("_kept"))).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    return out.withColumns(new).select(*docs.columns)
+
 
-    return joined.mapInPandas(remove, ", ".join([*fields, "_removed array<struct<a: int, b: int>>", "_kept binary"]))
+@F.pandas_udf(T.StringType())
+def _decoded(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
