@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Matches remembered by a task, and the longest that is.
-CACHE, LONGEST = 200_000, 48
+#: Matches remembered by a task, the longest that is, and texts that are encoded together.
+CACHE, LONGEST, TEXTS = 100_000, 32, 128
 
 
 def byte_chars() -> list[str]:
@@ -50,49 +51,48 @@ def id_bytes(ranks: dict[bytes, int]) -> list[bytes]:
 
 
 class Encoder:
-    """Encodes the pattern's matches, each by itself, and remembers the frequent ones: (ids, starts, ends) with offsets in
-    characters. A character split over tokens is inside the offsets of each of them."""
+    """Encodes the pattern's matches, each by itself, and remembers the frequent ones as arrays of ids in bytes."""
 
     def __init__(self, model: str, pattern: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.matches, self.known = Tokenizer.from_str(model), regex.compile(pattern).findall, {}
 
-    def learn(self, words: list[str]) -> dict[str, list[int]]:
-        """What `known` lacks of words is encoded in one batch; long words are returned and not kept."""
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids, four bytes each. What is not yet known of all texts' matches is encoded in one batch."""
+        words = [self.matches(t) for t in texts]
         if len(self.known) > CACHE:
             self.known.clear()
-        new = list({w for w in words if w not in self.known})
-        long = {}
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            (self.known if len(w) <= LONGEST else long)[w] = e.ids, e.offsets
-        return long
-
-    def ids(self, text: str) -> list[int]:
-        words, known = self.matches(text), self.known
-        try:
-            return [i for w in words for i in known[w][0]]
-        except KeyError:
-            # learn() may forget, so all words of this text are asked for
-            found = self.learn(words)
-            if len(self.known) > CACHE:
-                found |= {w: self.known[w] for w in words if w in self.known}
-            return [i for w in words for i in (found.get(w) or known[w])[0]]
+        known = self.known
+        new = [w for w in set().union(*words) if w not in known]
+        found = {w: np.array(e.ids, np.int32).tobytes() for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
+        known.update(found)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in words]
+        for w in found:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
-        words, out, at = self.matches(text), [], 0
-        found = self.learn(words)
-        for w in words:
-            out += [(at + a, at + b) for a, b in (found.get(w) or self.known[w])[1]]
+        """Each token's first character and the one after its last; a character split over tokens is inside all of them."""
+        out, at, words = [], 0, self.matches(text)
+        for w, e in zip(words, self.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+            out += [(at + a, at + b) for a, b in e.offsets]
             at += len(w)
         return out
 
 
-def _lists(values: list, inner: pa.DataType) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)])
-    flat = np.concatenate([np.asarray(v, dtype=np.int32) for v in values]) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, inner))
+def _lists(values: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *(len(v) // 4 for v in values)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), np.int32)))
+
+
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", offsets: bool = False) -> DataFrame:
@@ -110,41 +110,58 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                new = [_lists([encoder.ids(t) for t in texts], pa.int32())]
-                if offsets:
-                    spans = [encoder.offsets(t) for t in texts]
-                    new += [_lists([[s[k] for s in each] for each in spans], pa.int32()) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], names=[*kept, *added])
+        for batch in _sliced(batches, TEXTS):
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
+            new = [encoder.ids(texts)]
+            if offsets:
+                spans = [np.array(encoder.offsets(t), np.int32).reshape(-1, 2) for t in texts]
+                new += [[s[:, k].tobytes() for s in spans] for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *map(_lists, new)], names=[*kept, *added])
 
     return docs.mapInArrow(run, schema)
 
 
+def decode_ids(table: list[bytes], ids: list[int]) -> bytes:
+    """The bytes of ids. Bytes are joined before anything reads them as UTF-8, so split characters come out whole."""
+    return b"".join(map(table.__getitem__, ids))
+
+
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
-    """tokens with `decoded`, the bytes of its ids. Bytes are joined before anything reads them as UTF-8, so characters
-    split over tokens come out whole. No ids or null give no bytes."""
+    """tokens with `decoded`, the bytes of its ids. No ids or null give no bytes."""
     table = tokens.sparkSession.sparkContext.broadcast(id_bytes(read_ranks(path)))
     kept = [c for c in tokens.columns if c != bytes_col]
     schema = T.StructType([*(tokens.schema[c] for c in kept), T.StructField(bytes_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = table.value.__getitem__
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                out = [b"".join(map(of, ids or ())) for ids in batch.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.binary())], names=[*kept, bytes_col])
+        for batch in _sliced(batches, TEXTS):
+            out = [decode_ids(table.value, ids or []) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.binary())], names=[*kept, bytes_col])
 
     return tokens.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: number of tokens, digest of its ids, digest of the bytes they decode to."""
-    ids = encode(docs.select(id_col, text_col), path, pattern, text_col).select(id_col, "ids")
-    out = decode(ids, path)
-    return out.select(
-        id_col, F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", ids: bool = False) -> DataFrame:
+    """Per document: `keep`, if asked the ids, number of tokens, digest of its ids, digest of the bytes they decode to.
+
+    Encodes and decodes in one pass, with encode's and decode's parts, so that only digests leave a task.
+    """
+    ranks = read_ranks(path)
+    sent = docs.sparkSession.sparkContext.broadcast((tokenizer_json(ranks), id_bytes(ranks)))
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * ids + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    schema = T.StructType([*(docs.schema[c] for c in keep), *added])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, table = sent.value
+        encoder, decimal = Encoder(model, pattern), [str(i) for i in range(len(table))]
+        for batch in _sliced(batches, TEXTS):
+            n, of_ids, of_bytes = [], [], []
+            encoded = encoder.ids([t or "" for t in batch.column(len(keep)).to_pylist()])
+            for raw in encoded:
+                own = np.frombuffer(raw, np.int32).tolist()
+                n.append(len(own))
+                of_ids.append(hashlib.sha256(" ".join(map(decimal.__getitem__, own)).encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(decode_ids(table, own)).hexdigest())
+            new = [_lists(encoded)] * ids + [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[f.name for f in schema])
+
+    return docs.select(*keep, text_col).mapInArrow(run, schema)
