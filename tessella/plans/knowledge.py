@@ -230,3 +230,47 @@ WITH {_EDGES}, d AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM e U
 """)
 def focal_entity(spark: SparkSession, sf: str) -> DataFrame:
     return answers.focal(edges(spark, sf).withColumn("question_id", F.lit(0))).select("focal")
+
+
+def _canonical(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Pages as screens: their links, and headings as buttons; each screen is a state, linked pages are transitions."""
+    from tessella.operators import html
+    from tessella.plans import canonical
+    from tessella.sources.documents import SCREEN
+
+    s = html.screens(load(spark, sf, "pages")).groupBy("route").agg(F.max_by(F.struct("page_id", "title", "headings", "links", "text"), "page_id").alias("s")).select("route", "s.*")
+    none = F.lit(None).cast("string")
+    screens = s.select(
+        "route", "title", F.col("text").alias("main_visible_text"), F.array().cast(SCREEN["inputs"].dataType).alias("inputs"),
+        F.transform("headings", lambda h: F.struct(h.alias("text"), none.alias("type"), none.alias("region"), none.alias("selector"))).alias("buttons"), F.array().cast(SCREEN["tables"].dataType).alias("tables"),
+        F.transform("links", lambda x: F.struct(x["label"].alias("text"), x["href"].alias("href"), none.alias("region"))).alias("local_links"), F.array().cast(SCREEN["links"].dataType).alias("links"),
+    )
+    states = s.select(F.concat(F.lit("s"), "page_id").alias("state_id"), "route", "title", F.col("route").alias("signature"))
+    steps = s.select(F.concat(F.lit("s"), "page_id").alias("source_state_id"), F.concat(F.lit("s"), (F.col("page_id") + 1).cast("string")).alias("target_state_id"), F.lit("navigation_link").alias("event_type"), F.col("title").alias("label"), F.lit("a").alias("selector"))
+    modules = spark.createDataFrame([("/en", "english"), ("/de", "german"), ("/fr", "french"), ("/es", "spanish")], "prefix string, name string")
+    return canonical.build("pages", screens, states, steps, modules)
+
+
+@query()
+def canonical_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Every entity of the knowledge base that the pages make, as one table."""
+    from tessella.plans import canonical
+
+    return canonical.flattened(_canonical(spark, sf)).drop("payload")
+
+
+@query()
+def canonical_issues(spark: SparkSession, sf: str) -> DataFrame:
+    from tessella.plans import canonical
+
+    return canonical.issues(_canonical(spark, sf))
+
+
+@query()
+def version_import(spark: SparkSession, sf: str) -> DataFrame:
+    """A second version of the parts after one whose every third row differs: reviews of unchanged rows carry over."""
+    part = load(spark, sf, "part").select(F.lit("part").alias("entity_type"), F.col("p_partkey").cast("string").alias("canonical_id"), F.sha2("p_name", 256).alias("content_hash"), F.col("p_partkey").alias("k"))
+    old = part.withColumn("content_hash", F.when(F.col("k") % 3 == 0, "changed").otherwise(F.col("content_hash"))).select("entity_type", "canonical_id", "content_hash", F.when(F.col("k") % 2 == 0, "approved").otherwise("pending").alias("status"), F.lit(None).cast("string").alias("correction"), F.lit("v1").alias("version"))
+    known = spark.createDataFrame([("erp", "v1", "active")], "erp_id string, version string, status string")
+    items, _ = versions.imported(part.drop("k"), known, old, "erp", "v2")
+    return items.select("version", "canonical_id", "status", "action")
