@@ -237,8 +237,9 @@ def _canonical(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     from tessella.operators import html
     from tessella.plans import canonical
     from tessella.sources.documents import SCREEN
+    from tessella.sources.shared import written_once
 
-    s = html.screens(load(spark, sf, "pages")).groupBy("route").agg(F.max_by(F.struct("page_id", "title", "headings", "links", "text"), "page_id").alias("s")).select("route", "s.*")
+    s = written_once(html.screens(load(spark, sf, "pages")).groupBy("route").agg(F.max_by(F.struct("page_id", "title", "headings", "links", "text"), "page_id").alias("s")).select("route", "s.*"), "screens")
     none = F.lit(None).cast("string")
     screens = s.select(
         "route", "title", F.col("text").alias("main_visible_text"), F.array().cast(SCREEN["inputs"].dataType).alias("inputs"),

@@ -281,3 +281,38 @@ def knowledge_tree(spark: SparkSession, sf: str) -> DataFrame:
     """Systems, their modules, and counters of their screens."""
     counts = load(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("module"), F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("screens"), F.count_if(F.col("c_acctbal") < 0).alias("unavailable"))
     return counts.join(load(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("erp")), "n_nationkey").select("erp", "module", "screens", "unavailable")
+
+
+@query("""
+WITH o AS (SELECT event_id, CASE WHEN event_type = 'error' AND value < 10 THEN 'interaction_failed' WHEN event_type = 'error' THEN 'execution_error' WHEN value > 50 THEN 'changed' ELSE 'unchanged' END AS outcome FROM events)
+SELECT outcome, count(*) AS n FROM o GROUP BY outcome
+""")
+def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
+    from tessella.operators import audits
+
+    said = audits.outcome(F.lit(None).cast("string"), F.when(F.col("event_type") == "error", "e"), F.col("value") >= 10, F.col("value") > 50)
+    return load(spark, sf, "events").groupBy(said.alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH p AS (SELECT user_id, 'event_type' AS dimension, event_type AS value FROM events UNION ALL SELECT user_id, 'large', CASE WHEN events.value > 50 THEN 'true' ELSE 'false' END FROM events)
+SELECT user_id AS "group", dimension, value, count(*) AS n FROM p GROUP BY GROUPING SETS ((user_id, dimension, value), (dimension, value))
+""")
+def audit_histograms(spark: SparkSession, sf: str) -> DataFrame:
+    from tessella.operators import audits
+
+    rows = load(spark, sf, "events").select("user_id", "event_type", (F.coalesce(F.col("value"), F.lit(0.0)) > 50).alias("large"))
+    return audits.histograms(rows, "user_id", "event_type", "large")
+
+
+@query("""
+SELECT c_custkey AS state_id, min_by(o_orderkey, (length(o_orderpriority), o_orderkey)) AS shortest, count(*) AS seen FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey
+""")
+def shortest_path_per_state(spark: SparkSession, sf: str) -> DataFrame:
+    """An order's priority, split in letters, stands for a path."""
+    from tessella.operators import audits
+
+    rows = load(spark, sf, "orders").select(F.col("o_custkey").alias("state_id"), F.col("o_orderkey").alias("seq"), F.split("o_orderpriority", "").alias("path"), F.col("o_orderkey").cast("string").alias("title"))
+    best = audits.shortest_paths(rows)
+    first = rows.select("state_id", F.col("path").alias("path"), "seq").join(best, ["state_id", "path"]).groupBy("state_id").agg(F.min("seq").alias("shortest"), F.first("seen").alias("seen"))
+    return first.join(load(spark, sf, "customer").select(F.col("c_custkey").alias("state_id")), "state_id", "left_semi")
