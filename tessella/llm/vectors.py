@@ -76,7 +76,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     ok = rows.where(F.coalesce("ok", F.lit(False))).select("vec_id", F.transform("v", lambda c: c + F.lit(0.0).cast(vectors.schema[vector_col].dataType.elementType)).alias("v"), "label")
     classes = stored(ok.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "classes")
     models = {}
-    for (length,) in classes.select(F.size("v")).distinct().limit(64).collect():
+    for (length,) in classes.select(F.size("v")).distinct().collect():  # vectors of one table have one length, or few
         drawn = classes.where(F.size("v") == length).orderBy(F.xxhash64("rep", F.lit(5))).limit(SAMPLE).select("v").toPandas()
         models[length] = fit(_unit(drawn["v"])[1])
     sent = spark.sparkContext.broadcast(models)
