@@ -92,6 +92,52 @@ WITH d AS (
 SELECT doc_id, size, source_size, target, ((floor(u + place * rate) - floor(u + (place - 1) * rate)) * size)::BIGINT AS taken FROM p
 """
 
+_SUFFIXES = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), s AS (
+  SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(generate_series(1, n - 399)) AS i FROM d WHERE n >= 400)
+), r AS (
+  SELECT doc_id, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)
+), g AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM (SELECT doc_id, i, CASE WHEN i > lag(i, 1, -999) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 1 ELSE 0 END AS new FROM r)
+), c AS (
+  SELECT doc_id, min(i) AS x, max(i) + 399 AS y FROM g GROUP BY doc_id, run
+), k AS (
+  SELECT doc_id, x, y, lag(y, 1, 0) OVER (PARTITION BY doc_id ORDER BY x) + 1 AS kept_from FROM c
+), parts AS (
+  SELECT k.doc_id, kept_from, hex(b[kept_from:x - 1]) AS part FROM k JOIN d USING (doc_id) WHERE kept_from < x
+  UNION ALL SELECT doc_id, z.y + 1, hex(b[z.y + 1:n]) FROM d JOIN (SELECT doc_id, max(y) AS y FROM c GROUP BY doc_id) z USING (doc_id) WHERE z.y < n
+), t AS (
+  SELECT doc_id, string_agg(part, '' ORDER BY kept_from) AS kept FROM parts GROUP BY doc_id
+), m AS (
+  SELECT doc_id, sum(y - x + 1)::BIGINT AS n_removed, count(*) AS n_spans FROM c GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN n_spans IS NULL THEN sha256(b) ELSE sha256(unhex(coalesce(kept, ''))) END AS kept_sha256
+FROM d LEFT JOIN m USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+_MINHASH = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), t AS (
+  SELECT s.doc_id, sh, n FROM s JOIN n USING (doc_id)
+), p AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM t x JOIN t y ON x.sh = y.sh AND x.doc_id <> y.doc_id AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY x.doc_id, y.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), r(a, b) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a
+), g AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM documents d JOIN g USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
 _TOPK = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
@@ -120,4 +166,4 @@ SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id)::BIGINT AS n_link
 FROM embeddings e JOIN g USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op2_mixing": _MIXING, "op3_topk": _TOPK, "op5_vectors": _VECTORS}
+ORACLES: dict[str, str] = {"op1_suffixes": _SUFFIXES, "op2_mixing": _MIXING, "op3_topk": _TOPK, "op5_vectors": _VECTORS, "op10_minhash": _MINHASH}
