@@ -58,11 +58,11 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 def runs(texts: list[bytes], window: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For buffers of texts: (text, start, count, key, content, twice), one value a run of `count` windows from `start`.
+    """For buffers of texts: (text, start, count, key, content, twice, place), one value a run of `count` windows from `start`.
 
     A window's key is the least hash of the grams in it, so equal windows have equal keys wherever they stand. content is
     a hash of all bytes of the run's windows; twice tells that the run has its least gram more than once, without which
-    no two windows of the run can be equal. Texts shorter than a window have no runs; long ones are cut into overlapping
+    no two windows of the run can be equal; place is where that gram first stands, from the run's start. Texts shorter than a window have no runs; long ones are cut into overlapping
     pieces.
     """
     pieces = []
@@ -102,8 +102,12 @@ def _runs(pieces: list[tuple[int, int, bytes]], window: int, gram: int) -> tuple
     nth = spread(np.zeros(len(parts), np.int64), parts)
     start, count, piece = np.repeat(start, parts) + nth * RUN, np.minimum(np.repeat(count, parts) - nth * RUN, RUN), np.repeat(piece, parts)
     key = least[start]
-    there = grams[spread(start, count + w - 1)] == np.repeat(key, count + w - 1)
-    twice = np.add.reduceat(there, np.cumsum(count + w - 1) - (count + w - 1), dtype=np.int64) > 1 if len(start) else np.zeros(0, bool)
+    span = count + w - 1
+    first = np.cumsum(span) - span
+    there = np.flatnonzero(grams[spread(start, span)] == np.repeat(key, span))
+    nth = np.searchsorted(there, first)
+    twice = np.searchsorted(there, first + span) - nth > 1
+    place = there[nth] - first
     content = h.of(start, start + count + window - 1)
     text, offset = np.array([p[0] for p in pieces]), np.array([p[1] for p in pieces])
-    return text[piece], start - begin[piece] + offset[piece], count, key, content, twice
+    return text[piece], start - begin[piece] + offset[piece], count, key, content, twice, place

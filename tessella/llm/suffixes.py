@@ -137,7 +137,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, core: int = C
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             ids, th = b["id"].to_numpy(), b["th"].to_numpy()
-            for text, start, count, key, content, twice in anchors.runs([_bytes(t) for t in b["text"]], window, gram):
+            for text, start, count, key, content, twice, _ in anchors.runs([_bytes(t) for t in b["text"]], window, gram):
                 yield pd.DataFrame({"id": ids[text], "th": th[text], "start": start.astype(np.int32), "count": count.astype(np.int32), "key": key.view(np.int64), "content": content.view(np.int64), "twice": twice})
 
     runs = stored(docs.where(F.octet_length("text") >= window).mapInPandas(cut, "id long, th long, start int, count int, key long, content long, twice boolean"), "runs")
@@ -150,15 +150,26 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, core: int = C
     asked = one.groupBy(F.col("r.id").alias("id"), F.col("r.th").alias("th")).agg(F.collect_list(F.struct("key", "content", "n", F.col("r.start").alias("start"), F.col("r.count").alias("count"))).alias("asked"))
 
     def cut_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All runs asked of a batch are cut together; those that have their least gram twice, one by one."""
         for b in batches:
-            out = []
+            parts, asked_as = [], []
             for text, rows in zip(b["text"], b["asked"], strict=True):
                 raw = _bytes(text)
                 for r in rows:
-                    part = raw[r["start"] : r["start"] + r["count"] + window - 1]
-                    out += [(r["key"], r["content"], r["n"], *p) for p in _pieces(part, window, core)]
-            if out:
-                yield pd.DataFrame(out, columns=["key", "content", "n", "start", "count", "core", "piece", "before", "after"])
+                    parts.append(raw[r["start"] : r["start"] + r["count"] + window - 1])
+                    asked_as.append((r["key"], r["content"], r["n"]))
+            for at in range(0, len(parts), 4096):
+                out, some = [], parts[at : at + 4096]
+                for found in anchors.runs(some, window, core):
+                    text, start, count, key, content, twice, place = (c.view(np.int64).tolist() if c.dtype == np.uint64 else c.tolist() for c in found)
+                    for i, s, n, k, c, again, p in zip(text, start, count, key, content, twice, place, strict=True):
+                        t, end = some[i], s + n + window - 1
+                        if again:
+                            out += [(*asked_as[at + i], s + q[0], *q[1:]) for q in _pieces(t[s:end], window, core)]
+                        else:
+                            out.append((*asked_as[at + i], s, n, k, c, t[s : s + p], t[s + p + core : end]))
+                if out:
+                    yield pd.DataFrame(out, columns=["key", "content", "n", "start", "count", "core", "piece", "before", "after"])
 
     texts = docs.withColumnRenamed("id", "id2").withColumnRenamed("th", "th2")
     joined = asked.join(texts, (F.col("id") == F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", "asked", "text")

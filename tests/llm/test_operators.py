@@ -335,8 +335,10 @@ def brute_near(texts, length, percent):
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("length", [2, 5])
-def test_minhash(spark, length):
+@pytest.mark.parametrize("length, leaders, tile", [(2, 2, 1024), (5, 2, 1024), (2, 1, 3)])
+def test_minhash(spark, monkeypatch, length, leaders, tile):
+    monkeypatch.setattr(minhash, "LEADERS", leaders)
+    monkeypatch.setattr(minhash, "TILE", tile)
     rng = random.Random(7)
     base = [words(rng, rng.randrange(20, 150), 3000) for _ in range(40)]
     texts = [None, "", " \n", "One", "one", "one two", "É x", "é x"] + base
@@ -361,6 +363,30 @@ def test_minhash_null_ids(spark):
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("3", "3", True), ("3", "3", True), ("None", "None", True), ("None", "None", True)]
 
 
+def test_forest_and_common_sizes():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(1, 30)).astype(np.uint64)) for _ in range(rng.integers(2, 9))]
+        split = int(rng.integers(1, len(sets) + 1))
+        other = sets[split:] if split < len(sets) else sets
+        got, wanted = minhash.common_sizes(sets, split), np.array([[len(np.intersect1d(x, y)) for y in other] for x in sets[:split]])
+        assert (got == wanted)[[[x is not y for y in other] for x in sets[:split]]].all()
+        pairs = rng.integers(0, 12, (rng.integers(0, 10), 2))
+        rep = np.arange(12) * 10
+        tree = minhash.forest(pairs, rep)
+        join = lambda edges: {frozenset(g) for g in groups(edges)}
+        assert join([(rep[a], rep[b]) for a, b in pairs]) == join(tree.tolist()) and len(tree) <= 12
+
+
+def groups(edges):
+    out = {}
+    for a, b in edges:
+        g = out.get(a, {a}) | out.get(b, {b})
+        for x in g:
+            out[x] = g
+    return [g for g in out.values() if len(g) > 1]
+
+
 def test_likelihood_estimate():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.95):
