@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.llm.anchors import spread
 from tessella.llm.common import connected, mix64, stored
 
 #: Registers are ROWS in each of BANDS; base of their spacing; register of a minimum of 1. At similarity 0.8 a pair
@@ -140,27 +141,133 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
 
 
 def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """All likely pairs of members (bucket, rep, c) of one bucket and different components, compared by registers in
-    tiles, so that no task has more than two parts of a bucket."""
+    """A forest that joins all members (bucket, rep, c) that share a bucket, are of different components and likely to be
+    near. They are compared by registers in tiles, so that no task holds more than two parts of a bucket; small tiles are
+    compared many at once. As many rows leave a tile as it has members at most."""
     size = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 and m > 2")
     rows = members.join(size.select("bucket", F.ceil(F.col("m") / TILE).cast("int").alias("parts")), "bucket").join(classes.select("rep", "n", "regs"), "rep")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    rows = rows.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "c", "n", "regs")
+
+    def compare(b: pd.DataFrame, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the tiles begin..end of b: a row meets the later rows of its tile, of the other part if there are two."""
+        rep, c, n, part = (b[k].to_numpy() for k in ("rep", "c", "n", "part"))
+        two = (b["lo"] != b["hi"]).to_numpy()
+        tile_end = np.repeat(end, end - begin)
+        regs, found = _matrix(b["regs"]), []
+        at = np.arange(len(b))
+        for start in range(0, len(b), 4096):
+            i = at[start : start + 4096]
+            later = tile_end[i] - i - 1
+            for some in np.array_split(np.arange(len(i)), max(1, int(later.sum()) >> 18)):
+                j = spread(i[some] + 1, later[some])
+                k = np.repeat(i[some], later[some])
+                ok = (c[k] != c[j]) & (rep[k] != rep[j]) & (~two[k] | (part[k] != part[j])) & (100 * np.minimum(n[k], n[j]) >= percent * np.maximum(n[k], n[j]))
+                k, j = k[ok], j[ok]
+                for cut in range(0, len(k), 8192):
+                    x, y = k[cut : cut + 8192], j[cut : cut + 8192]
+                    # a pair as similar as asked shares about as many registers; few do, so the likelihood is for those
+                    same = (regs[x] == regs[y]).mean(1) >= percent / 100 - SLACK - 0.1
+                    x, y = x[same], y[same]
+                    s = similarity((regs[x] > regs[y]).sum(1), (regs[x] < regs[y]).sum(1), n[x].astype(float), n[y].astype(float))
+                    found.append(np.stack([x, y], 1)[s >= percent / 100 - SLACK])
+        return forest(np.concatenate(found) if found else np.zeros((0, 2), np.int64), rep)
 
-    def run(b: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            key = b[["bucket", "lo", "hi"]].to_numpy()
+            begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+            # the last tile may go on in the next batch
+            whole, rest = b.iloc[: begin[-1]], b.iloc[begin[-1] :].reset_index(drop=True)
+            if len(whole):
+                yield pd.DataFrame(compare(whole, begin[:-1], begin[1:]), columns=["a", "b"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(compare(rest, np.array([0]), np.array([len(rest)])), columns=["a", "b"])
+
+    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    return dealt.mapInPandas(run, "a long, b long").distinct()
+
+
+def forest(pairs: np.ndarray, rep: np.ndarray) -> np.ndarray:
+    """Pairs of rep that connect what pairs (of places in rep) connect: each with the first of its tree."""
+    label = np.arange(len(rep))
+    while len(pairs):
+        least = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, pairs[:, 0], least)
+        np.minimum.at(new, pairs[:, 1], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    low = np.flatnonzero(label != np.arange(len(rep)))
+    return np.stack([rep[label[low]], rep[low]], 1)
+
+
+def common_sizes(sets: list[np.ndarray], split: int) -> np.ndarray:
+    """Sizes of the intersections of the first `split` sets with the others (with all, if split is all): products of the
+    sets' indicators, over the members that two sets share, in blocks of columns."""
+    row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    name = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], name[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((split, len(sets) - split if split < len(sets) else split))
+    for at in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(column, [at, at + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        total += m[:split] @ (m[split:] if split < len(sets) else m).T
+    return total
+
+
+def _compared(clusters: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
+    """A forest of the links between different components c inside clusters (rep, cluster, c), by full sets. Sets are made
+    once, from texts (id, text), and dealt to tiles of two parts of a cluster; every pair of a tile is compared there."""
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = Hasher(length)
+        for b in batches:
+            yield b.assign(s=[hasher(t).tobytes() for t in b["text"]])[["cluster", "rep", "c", "parts", "s"]]
+
+    size = clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("cluster", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
+    rows = clusters.join(size, "cluster").join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("cluster", "rep", "c", "parts", "text").mapInPandas(sets, "cluster long, rep long, c long, parts int, s binary")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "c", "s")
+
+    def compare(b: pd.DataFrame) -> np.ndarray:
+        b = b.sort_values("part", kind="stable")
         lo, hi = b["lo"].iloc[0], b["hi"].iloc[0]
-        regs, rep, c, n, part = _matrix(b["regs"]), b["rep"].to_numpy(), b["c"].to_numpy(), b["n"].to_numpy(), b["part"].to_numpy()
-        x, y = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        found = []
-        for i in x:
-            j = y[(c[y] != c[i]) & (100 * np.minimum(n[y], n[i]) >= percent * np.maximum(n[y], n[i])) & ((lo != hi) | (rep[y] > rep[i]))]
-            if len(j):
-                s = similarity((regs[i] > regs[j]).sum(1), (regs[i] < regs[j]).sum(1), np.full(len(j), n[i], float), n[j].astype(float))
-                j = j[s >= percent / 100 - SLACK]
-                found.append(np.stack([np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])], 1))
-        return pd.DataFrame(np.concatenate(found) if found else np.zeros((0, 2), np.int64), columns=["a", "b"])
+        split = int((b["part"] == lo).sum())
+        if split == 0 or lo != hi and split == len(b):
+            return np.zeros((0, 2), np.int64)
+        own, c, rep = [np.frombuffer(x, np.uint64) for x in b["s"]], b["c"].to_numpy(), b["rep"].to_numpy()
+        both, n = common_sizes(own, split), np.array([len(x) for x in own])
+        other = slice(split, None) if split < len(b) else slice(None)
+        linked = (100 * both >= percent * (n[:split, None] + n[other] - both)) & (c[:split, None] != c[other])
+        x, y = np.nonzero(linked)
+        return forest(np.stack([x, y + (split if split < len(b) else 0)], 1), rep)
 
-    return rows.groupBy("bucket", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Tiles come sorted; one may reach over batches."""
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            key = b[["cluster", "lo", "hi"]].to_numpy()
+            begin = [*np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)])).tolist(), len(b)]
+            found = [compare(b.iloc[i:j]) for i, j in zip(begin[:-2], begin[1:-1], strict=True)]
+            rest = b.iloc[begin[-2] :].reset_index(drop=True)
+            if found:
+                yield pd.DataFrame(np.concatenate(found), columns=["a", "b"])
+        if rest is not None and len(rest):
+            yield pd.DataFrame(compare(rest), columns=["a", "b"])
+
+    return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
@@ -172,9 +279,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows; other columns are not read. A set is held in memory, one text at a time.
 
     Classes that share a band's registers are candidates. In each bucket all are compared with one of them; what is then
-    in one component needs no further comparison, what is not meets another leader, and in the end all members still
-    apart are compared. A pair is compared by registers first, then by its full sets: none that shares a band is skipped
-    unless its ends are already connected or its estimate is far below the threshold.
+    in one component needs no further comparison, what is not meets another leader. In the end members still apart are
+    compared by registers; those that are likely near make clusters, inside which all full sets are compared in tiles. No
+    pair that shares a band is skipped unless its ends are already connected or its estimate is far below the threshold,
+    and no step lists pairs: tasks give forests.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sketches = stored(sketch(base, length), "sketches")
@@ -195,32 +303,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links: list[DataFrame] = []
     tested: DataFrame | None = None
     texts: DataFrame | None = None
+
+    def with_texts(ids: DataFrame) -> DataFrame:
+        """Texts of at least these ids (id); what was fetched before is not fetched again."""
+        lacking = ids if texts is None else stored(ids.join(texts, "id", "left_anti"), "lacking")
+        if texts is not None and not lacking.limit(1).count():
+            return texts
+        new = base.join(lacking.withColumnRenamed("id", "need"), F.col("id") == F.col("need"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
+        return stored(new, "texts") if texts is None else texts.union(stored(new, "texts"))
+
+    own = classes.select("rep", F.col("rep").alias("c"))
     members = buckets.withColumn("c", F.col("rep"))
     for turn in range(LEADERS + 1):
         if turn < LEADERS:
-            lead = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "c") if turn else F.struct(F.col("rep").alias("h"), "rep", "c")).alias("l")).where("c0 < c1")
+            first = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "c") if turn else F.struct(F.col("rep").alias("h"), "rep", "c")
+            lead = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(first).alias("l")).where("c0 < c1")
             pairs = members.join(lead.select("bucket", F.col("l.rep").alias("lead"), F.col("l.c").alias("lead_c")), "bucket").where("c <> lead_c").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-            pairs = _likely(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes, percent)
-        else:
-            pairs = _apart(members, classes, percent)
-            pairs = pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if not pairs.limit(1).count():
-            if turn < LEADERS:
+            pairs = stored(_likely(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes, percent), "pairs")
+            if not pairs.limit(1).count():
                 continue
-            break
-        tested = pairs if tested is None else tested.union(pairs)
-        need = pairs.select(F.col("a").alias("need")).union(pairs.select("b")).distinct()
-        if texts is None:
-            # every class that any bucket holds beside another it is likely near to; later turns ask for few others
-            texts = stored(base.join(need, base.id == need.need, "left_semi").join(classes.select(F.col("rep").alias("id")), "id", "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")
-            have = texts
+            tested = pairs if tested is None else tested.union(pairs)
+            texts = with_texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+            links.append(stored(_confirmed(pairs, texts, length, percent), "links"))
         else:
-            lacking = need.join(texts.select(F.col("id").alias("need")), "need", "left_anti")
-            have = texts.union(stored(base.join(lacking, base.id == lacking.need, "left_semi").groupBy("id").agg(F.first("text").alias("text")), "texts")) if lacking.limit(1).count() else texts
-            texts = have
-        links.append(stored(_confirmed(pairs, have, length, percent), "links"))
+            near = stored(_apart(members, classes, percent), "near")
+            if not near.limit(1).count():
+                break
+            clusters = connected(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+            texts = with_texts(clusters.select(F.col("rep").alias("id")))
+            links.append(stored(_compared(clusters.join(own, "rep"), texts, length, percent), "links"))
         groups = connected(reduce(DataFrame.union, links))
+        own = classes.select("rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"))
         members = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
     if links:
         solved = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
