@@ -144,8 +144,8 @@ def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """A forest that joins all members (bucket, rep, c) that share a bucket, are of different components and likely to be
     near. They are compared by registers in tiles, so that no task holds more than two parts of a bucket; small tiles are
     compared many at once. As many rows leave a tile as it has members at most."""
-    size = members.groupBy("bucket").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1 and m > 2")
-    rows = members.join(size.select("bucket", F.ceil(F.col("m") / TILE).cast("int").alias("parts")), "bucket").join(classes.select("rep", "n", "regs"), "rep")
+    size = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1")
+    rows = members.where("m > 2").join(size.select("bucket"), "bucket").withColumn("parts", F.ceil(F.col("m") / TILE).cast("int")).join(classes.select("rep", "regs"), "rep")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "c", "n", "regs")
 
@@ -186,7 +186,7 @@ def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield pd.DataFrame(compare(rest, np.array([0]), np.array([len(rest)])), columns=["a", "b"])
 
-    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep")
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
@@ -201,7 +201,7 @@ def forest(pairs: np.ndarray, rep: np.ndarray) -> np.ndarray:
         new = new[new]
         if (new == label).all():
             break
-        label = new
+        label = new  # rows come sorted, so trees hang on their smallest members and tiles agree
     low = np.flatnonzero(label != np.arange(len(rep)))
     return np.stack([rep[label[low]], rep[low]], 1)
 
@@ -267,7 +267,7 @@ def _compared(clusters: DataFrame, texts: DataFrame, length: int, percent: int)
         if rest is not None and len(rest):
             yield pd.DataFrame(compare(rest), columns=["a", "b"])
 
-    return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInPandas(run, "a long, b long")
+    return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "rep").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
@@ -295,11 +295,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 b = whole.iloc[at : at + 2000]
                 regs = _matrix(b["regs"]).reshape(-1, BANDS, ROWS).astype(np.int64)
                 key = (regs << (8 * np.arange(ROWS))).sum(2) | (np.arange(BANDS) << 48)
-                yield pd.DataFrame({"bucket": key.ravel(), "rep": np.repeat(b["rep"].to_numpy(), BANDS)})
+                yield pd.DataFrame({"bucket": key.ravel(), "rep": np.repeat(b["rep"].to_numpy(), BANDS), "n": np.repeat(b["n"].to_numpy(), BANDS)})
 
-    bands = classes.select("rep", "regs").mapInPandas(banded, "bucket long, rep long")
-    full = bands.groupBy("bucket").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1")).where("r0 < r1")
-    buckets = stored(bands.join(full.select("bucket"), "bucket").select("bucket", "rep").distinct(), "buckets")
+    bands = classes.select("rep", "n", "regs").mapInPandas(banded, "bucket long, rep long, n long")
+    full = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
+    buckets = stored(bands.join(full, "bucket"), "buckets")
     links: list[DataFrame] = []
     tested: DataFrame | None = None
     texts: DataFrame | None = None
@@ -316,11 +316,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = buckets.withColumn("c", F.col("rep"))
     for turn in range(LEADERS + 1):
         if turn < LEADERS:
-            first = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "c") if turn else F.struct(F.col("rep").alias("h"), "rep", "c")
+            first = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("h"), "rep", "c", "n")
             lead = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(first).alias("l")).where("c0 < c1")
-            pairs = members.join(lead.select("bucket", F.col("l.rep").alias("lead"), F.col("l.c").alias("lead_c")), "bucket").where("c <> lead_c").select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
+            led = members.join(lead.select("bucket", F.col("l.rep").alias("lead"), F.col("l.c").alias("lead_c"), F.col("l.n").alias("lead_n")), "bucket")
+            led = led.where(f"c <> lead_c and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
+            pairs = led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
             pairs = stored(_likely(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes, percent), "pairs")
+            # buckets of two are done: their pair was compared with its leader
+            buckets = buckets.where("m > 2") if turn == 0 else buckets
             if not pairs.limit(1).count():
+                members = members.where("m > 2")
                 continue
             tested = pairs if tested is None else tested.union(pairs)
             texts = with_texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
@@ -334,7 +339,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links.append(stored(_compared(clusters.join(own, "rep"), texts, length, percent), "links"))
         groups = connected(reduce(DataFrame.union, links))
         own = classes.select("rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"))
-        members = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
+        members = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "m", F.coalesce("component", "rep").alias("c"))
     if links:
         solved = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
     else:
