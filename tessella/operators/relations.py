@@ -21,14 +21,6 @@ def longest_prefix(df: DataFrame, route: str, prefixes: DataFrame, prefix: str,
     return keyed.join(found, "_row", "left").drop("_row")
 
 
-def longest_prefix_of(df: DataFrame, route: str, prefixes: DataFrame, prefix: str, value: str) -> DataFrame:
-    """(route, value) for each distinct route: what longest_prefix gives, without row numbers."""
-    routes = df.select(route).distinct()
-    up = routes.select(route, F.explode(ancestors(F.col(route))).alias("_p"))
-    found = up.join(prefixes.select(F.col(prefix).alias("_p"), F.col(value).alias("_v")), "_p").groupBy(route).agg(F.max_by("_v", F.length("_p")).alias(value))
-    return routes.join(found, route, "left")
-
-
 def dangling(children: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
     """Rows of children whose key is set and has no parent."""
     return children.where(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)).distinct(), key, "left_anti")
