@@ -9,7 +9,7 @@ import numpy as np
 from tessella.llm.common import mix64
 
 #: Windows of one run at most, and bytes that are hashed together.
-RUN, BUFFER = 400, 1 << 20
+RUN, BUFFER = 400, 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Matches remembered by a task, the longest that is, and texts that are encoded together.
-CACHE, LONGEST, TEXTS = 100_000, 32, 128
+CACHE, LONGEST, TEXTS = 60_000, 32, 64
 
 
 def byte_chars() -> list[str]:

@@ -24,7 +24,7 @@ SLACK = 0.15
 LEADERS, TILE = 2, 1024
 
 _ODD = mix64(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-_WORDS = 500_000
+_WORDS = 100_000
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -136,9 +136,10 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, core: int = C
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, th = b["id"].to_numpy(), b["th"].to_numpy()
-            for text, start, count, key, content, twice, _ in anchors.runs([_bytes(t) for t in b["text"]], window, gram):
-                yield pd.DataFrame({"id": ids[text], "th": th[text], "start": start.astype(np.int32), "count": count.astype(np.int32), "key": key.view(np.int64), "content": content.view(np.int64), "twice": twice})
+            ids, th, texts = b["id"].to_numpy(), b["th"].to_numpy(), b["text"].tolist()
+            for at in range(0, len(b), 256):
+                for text, start, count, key, content, twice, _ in anchors.runs([_bytes(t) for t in texts[at : at + 256]], window, gram):
+                    yield pd.DataFrame({"id": ids[at + text], "th": th[at + text], "start": start.astype(np.int32), "count": count.astype(np.int32), "key": key.view(np.int64), "content": content.view(np.int64), "twice": twice})
 
     runs = stored(docs.where(F.octet_length("text") >= window).mapInPandas(cut, "id long, th long, start int, count int, key long, content long, twice boolean"), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1"), F.max("twice").alias("tw")).where("n > 1 or tw")
@@ -235,8 +236,9 @@ def merged(found) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
-    """docs with `_removed`, the maximal runs of bytes that repeat, and `_kept`, the other bytes in order.
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, as_text: bool = False, **options) -> DataFrame:
+    """docs with `_removed`, the maximal runs of bytes that repeat, and `_kept`, the other bytes in order
+    (as_text: as a string without the characters of which a byte is removed).
 
     Every text is its UTF-8 bytes, null is empty, and no string reaches over a document's end. Both places of a repeat
     are covered, in one document or two, overlapping or not; equal rows repeat each other; ids may be null or repeat.
@@ -248,7 +250,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = spans(base.select("id", "th", "text"), window, **options).select(F.col("id").alias("id2"), F.col("th").alias("th2"), "spans")
     joined = base.join(found, (F.col("id") == F.col("id2")) & (F.col("th") == F.col("th2")), "left").select("row", "text", "spans")
     ranges = T.ArrayType(T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())]))
-    schema = T.StructType([joined.schema["row"], T.StructField("_removed", ranges), T.StructField("_kept", T.BinaryType())])
+    schema = T.StructType([joined.schema["row"], T.StructField("_removed", ranges), T.StructField("_kept", T.StringType() if as_text else T.BinaryType())])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +260,8 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 removed.append([{"a": x, "b": y} for x, y in cuts])
                 kept.append(b"".join(raw[x:y] for x, y in zip([0, *(c[1] for c in cuts)], [*(c[0] for c in cuts), len(raw)], strict=True)))
             kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, kind), pa.array(kept, pa.binary())], names=["row", "_removed", "_kept"])
+            out = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, kind), out], names=["row", "_removed", "_kept"])
 
     return joined.mapInArrow(remove, schema).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("_removed", "_kept")), "_removed", "_kept")
 
@@ -266,17 +269,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def cleaned(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """docs with the text that is left, and its length where docs have one. A character of which a byte is removed goes
     as a whole; null texts stay null."""
-    out = without_repeats(docs, text_col=text_col, **options)
-    text = F.when(F.size("_removed") == 0, F.col(text_col)).otherwise(_decoded("_kept"))
-    new = {text_col: text} | ({chars_col: F.when(F.size("_removed") == 0, F.col(chars_col)).otherwise(F.length(_decoded("_kept"))).cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    out = without_repeats(docs, text_col=text_col, as_text=True, **options)
+    cut = F.size("_removed") > 0
+    new = {text_col: F.when(cut, F.col("_kept")).otherwise(F.col(text_col))}
+    if chars_col in docs.columns:
+        new[chars_col] = F.when(cut, F.length("_kept")).otherwise(F.col(chars_col)).cast(docs.schema[chars_col].dataType)
     return out.withColumns(new).select(*docs.columns)
 
 
-@F.pandas_udf(T.StringType())
-def _decoded(raw: pd.Series) -> pd.Series:
-    return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-
 def digest(docs: DataFrame) -> DataFrame:
     out = without_repeats(docs.select("doc_id", "text"))
     n = F.aggregate("_removed", F.lit(0).cast("long"), lambda s, r: s + r["b"] - r["a"])
