@@ -274,6 +274,53 @@ def test_passages(spark):
     assert passages.near_passages(empty(spark)).count() == 0
 
 
+def brute_segments(match, least, percent):
+    covered = set()
+    for i in range(len(match)):
+        for j in range(i + least, len(match) + 1):
+            m = int(match[i:j].sum())
+            if 100 * m >= percent * (2 * (j - i) - m):
+                covered.update(range(i, j))
+    return covered
+
+
+def test_segments_cover_every_alike_stretch():
+    rng = np.random.default_rng(6)
+    cases = [rng.random(rng.integers(0, 40)) < rng.choice([0.5, 0.85, 0.95]) for _ in range(300)]
+    for match in cases:
+        found, covered = passages.segments(match, 9, 80), brute_segments(match, 9, 80)
+        places = {k for s, e in found for k in range(s, e)}
+        assert places <= covered and {k for k in covered if match[k]} <= places
+        assert all(e - s >= 9 for s, e in found)
+
+
+def test_segments_with_changed_words_at_every_place():
+    for n in (50, 70):
+        for k in range(n):
+            match = np.zeros(n + 56, bool)
+            match[30 : 30 + n - 4] = True
+            match[max(30, 26 + k) : 31 + k] = False
+            assert passages.segments(match, 46, 80), (n, k)
+    for k in range(100):
+        for j in range(k):
+            match = np.ones(96, bool)
+            match[max(0, k - 4) : k + 1] = False
+            match[max(0, j - 4) : j + 1] = False
+            assert passages.segments(match, 46, 80), (j, k)
+
+
+def test_passages_with_a_changed_word(spark):
+    rng = random.Random(12)
+    texts = []
+    for k in range(0, 70, 3):
+        common = words(rng, 70, 5000).split()
+        changed = [*common[:k], "changed", *common[k + 1 :]]
+        texts += [f"{words(rng, 40, 5000)} {' '.join(w)} {words(rng, 40, 5000)}" for w in (common, changed)]
+    got = {r.doc_id: r for r in passages.near_passages(docs(spark, texts)).collect()}
+    assert set(got) == set(range(len(texts)))
+    assert all(got[i].component_id == i // 2 * 2 for i in got)
+
+
 def test_compact_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(3)
     for _ in range(100):
