@@ -101,13 +101,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
                 probes[np.arange(len(u)), home] = True
                 at, to = np.nonzero(probes)
                 data = [v.tobytes() for v in raw]
-                part = lambda i, cell, listed: pd.DataFrame({"label": b["label"].to_numpy()[i], "width": np.int32(length), "cell": cell.astype(np.int32), "listed": listed, "rep": b["rep"].to_numpy()[i], "n": b["n"].to_numpy()[i],
+                part = lambda i, cell, listed: pd.DataFrame({"label": b["label"].to_numpy()[i], "width": np.int32(length), "cell": cell.astype(np.int32), "listed": listed, "own": cell == home[i], "rep": b["rep"].to_numpy()[i], "n": b["n"].to_numpy()[i],
                     "x": [data[j] for j in i], "codes": [codes[j].tobytes() for j in i], "error": error[i]})
                 yield part(np.arange(len(b)), home, True)
                 yield part(at, to, False)
 
     label = classes.schema["label"].dataType.simpleString()
-    entries = stored(classes.mapInPandas(coded, f"label {label}, width int, cell int, listed boolean, rep long, n long, x binary, codes binary, error double"), "lists")
+    entries = stored(classes.mapInPandas(coded, f"label {label}, width int, cell int, listed boolean, own boolean, rep long, n long, x binary, codes binary, error double"), "lists")
     key = ["label", "width", "cell"]
     parts = entries.groupBy(*key).agg(F.ceil(F.sum(F.col("listed").cast("int")) / BLOCK).cast("int").alias("blocks"), F.ceil(F.sum((~F.col("listed")).cast("int")) / PROBES).cast("int").alias("turns"))
     dealt = entries.join(parts.where("blocks > 0"), key)
@@ -129,9 +129,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
         unit = qx / np.abs(qx).max(1, keepdims=True)
         unit = unit / np.sqrt((unit * unit).sum(1, keepdims=True))
         bound = np.sqrt(adc(unit - model["coarse"][cell], codes, model)) - v["error"].to_numpy()[None, :]
-        same = np.isin(qr, vr)
+        same = q["own"].to_numpy(bool)
         near = bound <= reach + 1e-4
-        # two vectors of one list meet as both probe and entry: once is enough
+        # two vectors of one list meet as both probe and entry, perhaps in different blocks: once is enough
         near[same] &= qr[same][:, None] < vr[None, :]
         i, j = np.nonzero(near)
         linked = np.zeros(near.shape, bool)

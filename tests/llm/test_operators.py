@@ -195,6 +195,17 @@ def test_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_vectors_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 3)
+    monkeypatch.setattr(vectors, "PROBES", 3)
+    monkeypatch.setattr(vectors, "LISTS", 3)
+    rng = np.random.default_rng(15)
+    centres = rng.normal(size=(5, 16))
+    rows = [(i, [float(x) for x in (centres[i % 5] + rng.normal(size=16) * rng.choice([0.02, 0.12])).astype(np.float32)], int(i % 2)) for i in range(80)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()} == brute_links(rows)
+
+
 # 6
 
 
