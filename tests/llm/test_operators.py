@@ -320,6 +320,15 @@ def test_segments_with_changed_words_at_every_place():
             assert passages.segments(match, 46, 80), (j, k)
 
 
+def test_segments_after_a_long_one():
+    for gap in range(1, 120):
+        for long in (60, 500):
+            match = np.array([False] * 20 + [True] * long + [False] * gap + [True] * 60 + [False] * 20)
+            for m in (match, match[::-1]):
+                places = {k for s, e in passages.segments(m, 46, 80) for k in range(s, e)}
+                assert set(np.flatnonzero(m).tolist()) <= places, (gap, long)
+
+
 def test_passages_with_a_changed_word(spark):
     rng = random.Random(12)
     texts = []
