@@ -201,6 +201,12 @@ def main_text_lines(spark: SparkSession, sf: str) -> DataFrame:
     return docs.where((F.size("k") == 0) | (F.col("first_line") == F.col("k")[0])).select("doc_id", "first_line")
 
 
+@query()
+def main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines of every document that fit in its main text."""
+    return load(spark, sf, "documents").select("doc_id", evidence.whole_lines(F.col("text")).alias("main_text"))
+
+
 @query()
 def hybrid_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """Vector seeds, their neighbourhood in the graph, approved nodes only, and where each came from.

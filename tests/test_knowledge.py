@@ -4,7 +4,7 @@ import json
 from pyspark.sql import functions as F
 
 from tessella.operators import graph, policy, ranking, relations, versions
-from tessella.plans import canonical
+from tessella.plans import QUERIES, canonical
 from tessella.sources import documents
 from tessella.streaming import reviews
 
@@ -138,3 +138,26 @@ def test_sources(spark, tmp_path):
     assert sorted((r.version, r.x) for r in spark.read.parquet(path).collect()) == [("v1", 1), ("v2", 9)]
     m = documents.manifest({"a": df}).collect()[0]
     assert m.rows == 2 and m.content_hash == documents.manifest({"a": df.orderBy(F.desc("x"))}).collect()[0].content_hash
+
+
+def test_main_text_and_tokens_of_every_document(spark, tmp_path):
+    line = lambda n: "á" * n
+    texts = [None, "", " \n\t\n", "one", "one\n\n  two   three \n", line(8001) + "\nshort", line(8000) + "\nshort", line(4000) + "\n" + line(3999) + "\nx", line(4000) + "\n" + line(4000) + "\nx", "\n".join(f"line {i}" for i in range(2000)), "Los módulos y las pantallas/listas", "The cats, the dogs"]
+    langs = ["es", None, "en", "es", "de", "fr", "en", None, "en", "en", "es", None]
+    spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def folded(t):
+        kept = []
+        for x in filter(None, (" ".join(x.split()) for x in t.split("\n"))):
+            if len("\n".join([*kept, x])) > 8000:
+                break
+            kept.append(x)
+        return "\n".join(kept)
+
+    got = {r.doc_id: r.main_text for r in QUERIES["main_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: None if t is None else folded(t) for i, t in enumerate(texts)}
+    tokens = {r.doc_id: r.tokens for r in QUERIES["token_set_normalize"](spark, str(tmp_path)).collect()}
+    assert set(tokens) == set(range(len(texts)))
+    assert tokens[0] is None and tokens[1] == tokens[2] == "" and tokens[10] == "lista pantalla" and tokens[4] == "one three two" and tokens[11] == "cats dogs the"
+    numbers = {str(i) for i in range(2000)}
+    assert set(tokens[9].split()) == numbers | {"line"}
