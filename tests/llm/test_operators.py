@@ -341,6 +341,23 @@ def test_passages_with_a_changed_word(spark):
     assert all(got[i].component_id == i // 2 * 2 for i in got)
 
 
+@pytest.mark.parametrize("tile", [1024, 4])
+def test_passages_of_common_lines(spark, monkeypatch, tile):
+    monkeypatch.setattr(passages, "TILE", tile, raising=False)
+    rng = random.Random(21)
+    lines = [words(rng, 10, 5000) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        common = " ".join(rng.sample(lines, 5))
+        texts += [f"{words(rng, 40, 5000)} {common} {words(rng, 40, 5000)}" for _ in range(2)]
+    got = {r.doc_id: r for r in passages.near_passages(docs(spark, texts)).collect()}
+    assert set(got) == brute_passages(texts) == set(range(120))
+    for i in range(0, 120, 2):
+        assert got[i].component_id == got[i + 1].component_id
+        assert all(any(p.start <= 40 and p.end >= 90 for p in got[k].passages) for k in (i, i + 1))
+    assert all(r.n_component == sum(q.component_id == r.component_id for q in got.values()) for r in got.values())
+
+
 def test_compact_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(3)
     for _ in range(100):
