@@ -9,11 +9,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm import common
 from tessella.llm.anchors import spread
-from tessella.llm.common import connected, mix64, stored
+from tessella.llm.common import connected, discard, mix64, stored
 
 #: Registers are ROWS in each of BANDS; base of their spacing; register of a minimum of 1. At similarity 0.8 a pair
 #: shares no band with a chance of about one in ten million.
@@ -89,20 +90,23 @@ def _matrix(column) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, length: int) -> DataFrame:
-    """(id, n, s1, s2, regs): size, digest and registers of each row's shingle set."""
+    """(id, th, n, s1, s2, regs) of docs (id, th, text): size, digest and registers of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(length)
         signed = lambda x: int(np.uint64(x).astype(np.int64))
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for t in batch.column(1):
+            for t in batch.column(2):
                 h = hasher(t.as_py())
                 for to, value in zip(out, (len(h), signed(mix64(h).sum(dtype=np.uint64)), signed(np.bitwise_xor.reduce(mix64(h ^ np.uint64(0x5BD1E995)))), registers(h).tobytes()), strict=True):
                     to.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, out[:3], [pa.int64()] * 3), pa.array(out[3], pa.binary())], names=["id", "n", "s1", "s2", "regs"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *map(pa.array, out[:3], [pa.int64()] * 3), pa.array(out[3], pa.binary())],
+                names=["id", "th", "n", "s1", "s2", "regs"],
+            )
 
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, s1 long, s2 long, regs binary")
+    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, s1 long, s2 long, regs binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -121,23 +125,24 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets are similar enough. Each side's text comes by a join; pairs of one leader follow each
-    other, so its set is made once."""
-    both = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("t_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("t_a")), "a")
+    """Pairs (a, b) whose full shingle sets are similar enough. b's text goes to its leader a once a pair, a's once for
+    each TILE pairs."""
+    rows = common.led(pairs.select(F.col("a").alias("lead"), F.col("b").alias("node")), TILE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, set()
+        held = set()
         for b in batches:
             ok = []
-            for a, x, y in zip(b["a"], b["t_a"], b["t_b"], strict=True):
-                if a != last:
-                    last, held = a, shingles(x, length)
-                other = shingles(y, length)
-                both = len(held & other)
-                ok.append(100 * both >= percent * (len(held) + len(other) - both))
-            yield b.loc[np.array(ok, bool), ["a", "b"]]
+            for lead, node, text in zip(b["lead"], b["node"], b["text"], strict=True):
+                own = shingles(text, length)
+                if lead == node:
+                    held = own
+                elif 100 * (both := len(held & own)) >= percent * (len(held) + len(own) - both):
+                    ok.append((lead, node))
+            if ok:
+                yield pd.DataFrame(ok, columns=["a", "b"])
 
-    return both.mapInPandas(run, "a long, b long")
+    return common.by_leader(rows.join(texts, "node")).select("lead", "node", "text").mapInPandas(run, "a long, b long")
 
 
 def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -187,23 +192,12 @@ def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pd.DataFrame(compare(rest, np.array([0]), np.array([len(rest)])), columns=["a", "b"])
 
     dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep")
-    return dealt.mapInPandas(run, "a long, b long").distinct()
+    return dealt.mapInPandas(run, "a long, b long")
 
 
 def forest(pairs: np.ndarray, rep: np.ndarray) -> np.ndarray:
     """Pairs of rep that connect what pairs (of places in rep) connect: each with the first of its tree."""
-    label = np.arange(len(rep))
-    while len(pairs):
-        least = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
-        new = label.copy()
-        np.minimum.at(new, pairs[:, 0], least)
-        np.minimum.at(new, pairs[:, 1], least)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new  # rows come sorted, so trees hang on their smallest members and tiles agree
-    low = np.flatnonzero(label != np.arange(len(rep)))
-    return np.stack([rep[label[low]], rep[low]], 1)
+    return np.stack(common.forest(rep[pairs[:, 0]], rep[pairs[:, 1]]), 1) if len(pairs) else np.zeros((0, 2), np.int64)
 
 
 def common_sizes(sets: list[np.ndarray], split: int) -> np.ndarray:
@@ -228,7 +222,7 @@ def common_sizes(sets: list[np.ndarray], split: int) -> np.ndarray:
 
 def _compared(clusters: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
     """A forest of the links between different components c inside clusters (rep, cluster, c), by full sets. Sets are made
-    once, from texts (id, text), and dealt to tiles of two parts of a cluster; every pair of a tile is compared there."""
+    once, from texts (node, text), and dealt to tiles of two parts of a cluster; every pair of a tile is compared there."""
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher = Hasher(length)
@@ -236,7 +230,7 @@ def _compared(clusters: DataFrame, texts: DataFrame, length: int, percent: int)
             yield b.assign(s=[hasher(t).tobytes() for t in b["text"]])[["cluster", "rep", "c", "parts", "s"]]
 
     size = clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("cluster", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
-    rows = clusters.join(size, "cluster").join(texts.select(F.col("id").alias("rep"), "text"), "rep").select("cluster", "rep", "c", "parts", "text").mapInPandas(sets, "cluster long, rep long, c long, parts int, s binary")
+    rows = clusters.join(size, "cluster").join(texts.select(F.col("node").alias("rep"), "text"), "rep").select("cluster", "rep", "c", "parts", "text").mapInPandas(sets, "cluster long, rep long, c long, parts int, s binary")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "c", "s")
 
@@ -270,24 +264,15 @@ def _compared(clusters: DataFrame, texts: DataFrame, length: int, percent: int)
     return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "rep").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each of docs: id, n_shingles, component_id, kept.
-
-    Documents link if 100 * |intersection| >= percent * |union| of their sets of word shingles. Texts with fewer words than
-    a shingle have their whole sequence as one; null texts and those without words have no set and link with nothing.
-    Equal sets are one class from the start. Rows with a null id link with nothing; rows that repeat an id are one node. An
-    empty table gives no rows; other columns are not read. A set is held in memory, one text at a time.
-
-    Classes that share a band's registers are candidates. In each bucket all are compared with one of them; what is then
-    in one component needs no further comparison, what is not meets another leader. In the end members still apart are
-    compared by registers; those that are likely near make clusters, inside which all full sets are compared in tiles. No
-    pair that shares a band is skipped unless its ends are already connected or its estimate is far below the threshold,
-    and no step lists pairs: tasks give forests.
-    """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _components(docs: DataFrame, id_col: str, text_col: str, length: int, percent: int) -> DataFrame:
+    """(id, th, n, c, component) of each row; c tells components apart, component is the smallest id of one. Both are null
+    for rows that cannot link. See near_duplicates."""
+    text = F.col(text_col)
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     sketches = stored(sketch(base, length), "sketches")
-    classes = sketches.where("n > 0 and id is not null").groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"), F.first("regs").alias("regs"))
-    classes = stored(classes, "classes")
+    # a class of equal sets goes by a hash of its digest, whatever ids its rows have; any of its texts stands for it
+    classes = sketches.where("n > 0 and id is not null").groupBy(F.xxhash64("n", "s1", "s2").alias("rep"))
+    classes = stored(classes.agg(F.min("id").alias("id"), F.min("th").alias("th"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -298,59 +283,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 yield pd.DataFrame({"bucket": key.ravel(), "rep": np.repeat(b["rep"].to_numpy(), BANDS), "n": np.repeat(b["n"].to_numpy(), BANDS)})
 
     bands = classes.select("rep", "n", "regs").mapInPandas(banded, "bucket long, rep long, n long")
-    full = bands.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
-    buckets = stored(bands.join(full, "bucket"), "buckets")
-    links: list[DataFrame] = []
-    tested: DataFrame | None = None
-    texts: DataFrame | None = None
-
-    def with_texts(ids: DataFrame) -> DataFrame:
-        """Texts of at least these ids (id); what was fetched before is not fetched again."""
-        lacking = ids if texts is None else stored(ids.join(texts, "id", "left_anti"), "lacking")
-        if texts is not None and not lacking.limit(1).count():
-            return texts
-        new = base.join(lacking.withColumnRenamed("id", "need"), F.col("id") == F.col("need"), "left_semi").groupBy("id").agg(F.first("text").alias("text"))
-        return stored(new, "texts") if texts is None else texts.union(stored(new, "texts"))
-
-    own = classes.select("rep", F.col("rep").alias("c"))
-    members = buckets.withColumn("c", F.col("rep"))
+    # one shuffle of the bands: a bucket's size comes by a window, which spills where a bucket is large
+    buckets = every = stored(bands.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1"), "buckets")
+    own: DataFrame | None = None  # (rep, c) of the classes that are linked
+    tested: list[DataFrame] = []
+    texts: list[DataFrame] = []
+
+    def with_texts(nodes: DataFrame) -> DataFrame:
+        """(node, text) of at least these classes; what was fetched before is not fetched again."""
+        for t in texts:
+            nodes = nodes.join(t.select("node"), "node", "left_anti")
+        need = nodes.join(classes.select(F.col("rep").alias("node"), F.col("th").alias("of")), "node")
+        texts.append(stored(base.join(need, F.col("th") == F.col("of")).groupBy("node").agg(F.first("text").alias("text")), "texts"))
+        return reduce(DataFrame.union, texts)
+
+    def component(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("c", F.col("rep")) if own is None else rows.join(own, "rep", "left").withColumn("c", F.coalesce("c", "rep"))
+
+    def linked(links: DataFrame) -> DataFrame:
+        """own with the components that the new links join: only components, not all earlier links, are looked at."""
+        ends = component(component(links.withColumnRenamed("a", "rep")).select(F.col("c").alias("a"), F.col("b").alias("rep"))).select("a", F.col("c").alias("b"))
+        groups = connected(ends)
+        named = groups.select(F.col("node").alias("c"), "component")
+        new = named.select(F.col("c").alias("rep"), F.col("component").alias("c"))
+        if own is not None:
+            moved = own.join(named, "c", "left").select("rep", F.coalesce("component", "c").alias("c"))
+            new = moved.union(new.join(own, "rep", "left_anti"))
+        out = stored(new, "own")
+        discard(links, groups, own)
+        return out
+
     for turn in range(LEADERS + 1):
+        members = component(buckets)
         if turn < LEADERS:
             first = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("h"), "rep", "c", "n")
             lead = members.groupBy("bucket").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(first).alias("l")).where("c0 < c1")
             led = members.join(lead.select("bucket", F.col("l.rep").alias("lead"), F.col("l.c").alias("lead_c"), F.col("l.n").alias("lead_n")), "bucket")
             led = led.where(f"c <> lead_c and 100 * least(n, lead_n) >= {percent} * greatest(n, lead_n)")
-            pairs = led.select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b")).distinct()
-            pairs = stored(_likely(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), classes, percent), "pairs")
-            # buckets of two are done: their pair was compared with its leader
-            buckets = buckets.where("m > 2") if turn == 0 else buckets
-            if not pairs.limit(1).count():
-                members = members.where("m > 2")
-                continue
-            tested = pairs if tested is None else tested.union(pairs)
-            texts = with_texts(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-            links.append(stored(_confirmed(pairs, texts, length, percent), "links"))
+            pairs = led.select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+            for t in tested:
+                pairs = pairs.join(t, ["a", "b"], "left_anti").join(t.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+            pairs = stored(_likely(pairs, classes, percent), "pairs")
+            if turn == 0:  # buckets of two are done: their pair was compared with its leader
+                buckets = buckets.where("m > 2")
+            tested.append(pairs)
+            if not pairs.isEmpty():
+                known = with_texts(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+                own = linked(stored(_confirmed(pairs, known, length, percent), "links"))
         else:
             near = stored(_apart(members, classes, percent), "near")
-            if not near.limit(1).count():
-                break
-            clusters = connected(near).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-            texts = with_texts(clusters.select(F.col("rep").alias("id")))
-            links.append(stored(_compared(clusters.join(own, "rep"), texts, length, percent), "links"))
-        groups = connected(reduce(DataFrame.union, links))
-        own = classes.select("rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"))
-        members = buckets.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "n", "m", F.coalesce("component", "rep").alias("c"))
-    if links:
-        solved = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
-    else:
-        solved = classes.select("n", "s1", "s2", F.col("rep").alias("component"))
-    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
-    out = sketches.drop("regs").join(solved, ["n", "s1", "s2"], "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+            if not near.isEmpty():
+                joined = connected(near)
+                clusters = joined.select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+                known = with_texts(clusters.select(F.col("rep").alias("node")))
+                own = linked(stored(_compared(component(clusters), known, length, percent), "links"))
+                discard(joined)
+            discard(near)
+    discard(every, *tested, *texts)
+    solved = component(classes.select("rep", "id"))
+    solved = stored(solved.join(solved.groupBy("c").agg(F.min("id").alias("component")), "c").select("rep", "c", "component"), "solved")
+    discard(classes, own)
+    return sketches.drop("regs").withColumn("rep", F.when(F.col("id").isNotNull(), F.xxhash64("n", "s1", "s2"))).join(solved, "rep", "left").select("id", "th", "n", "c", "component")
+
 
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
+    """One row for each of docs: id, n_shingles, component_id, kept.
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stand for their groups, with their columns; rows that link with nothing stay."""
-    found = near_duplicates(docs, **options).where("kept").select(F.col(options.get("id_col", "doc_id")).alias("_kept")).distinct()
-    key = docs[options.get("id_col", "doc_id")]
-    return docs.join(found, key.cast("long").eqNullSafe(found["_kept"]), "left_semi")
+    Documents link if 100 * |intersection| >= percent * |union| of their sets of word shingles. Texts with fewer words than
+    a shingle have their whole sequence as one; null texts and those without words have no set and link with nothing.
+    Equal sets are one class from the start. Rows with a null id link with nothing; each row that repeats an id is
+    compared with its own text, and component_id is the smallest id of a row's component. An empty table gives no rows;
+    other columns, whatever their names, are not read. A set is held in memory, one text at a time.
+
+    Classes go by 64 bits of a 192-bit digest of their sets: two of 10^9 different sets share them with a chance of 3 %.
+    Classes that share a band's registers are candidates; a pair at the threshold shares none with a chance of 10^-7, and
+    the estimates that rule a pair out are six deviations off. In each bucket all are compared with one of them; what is
+    then in one component needs no further comparison, what is not meets another leader. In the end members still apart
+    are compared by registers; those that are likely near make clusters, inside which all full sets are compared in tiles.
+    No pair that shares a band is skipped unless its ends are already connected or its estimate is far below the
+    threshold, and no step lists pairs: tasks give forests.
+    """
+    found = _components(docs, id_col, text_col, length, percent)
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 5, percent: int = 80) -> DataFrame:
+    """One row of docs, with its columns, for each group of near duplicates: that with the smallest id, of rows that share
+    it the one with the least hash of its text, of equal ones any. Rows that link with nothing stay, so do null ids."""
+    found = _components(docs, id_col, text_col, length, percent)
+    rows = found.groupBy("id", "th", "c").agg(F.count("*").alias("copies"))
+    best = rows.where("c is not null").groupBy("c").agg(F.min(F.struct("id", "th")).alias("k")).select("k.id", "k.th")
+    alone = rows.where("c is null").select("id", "th", F.lit(1).cast("long").alias("copies"))
+    kept = stored(best.join(rows.select("id", "th", "copies"), ["id", "th"]).unionByName(alone).withColumnsRenamed({"id": "_id", "th": "_th"}), "kept")
+    own = (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(text_col) == F.col("_th"))
+    one = F.col("copies") == 1
+    several = docs.join(kept.where(~one), own, "left_semi").dropDuplicates([id_col, text_col])
+    return docs.join(kept.where(one), own, "left_semi").unionByName(several)

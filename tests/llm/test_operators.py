@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, minhash, mixing, passages, quality, sharding, suffixes, topk, vectors
+from tessella.llm import bpe, common, language, minhash, mixing, passages, quality, sharding, suffixes, topk, vectors
 from tessella.llm.common import connected
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -441,10 +441,18 @@ def test_minhash(spark, monkeypatch, length, leaders, tile):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_minhash_null_ids(spark):
+def test_minhash_null_and_repeated_ids(spark):
     rows = [(None, "a b c", None, None, None), (None, "a b c", None, None, None), (3, "a b c", None, None, None), (3, "x y z", None, None, None)]
     got = minhash.near_duplicates(spark.createDataFrame(rows, DOC), length=2).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in got) == [("3", "3", True), ("3", "3", True), ("None", "None", True), ("None", "None", True)]
+    rng = random.Random(3)
+    a, b = words(rng, 60), words(rng, 60)
+    near = b.rsplit(" ", 1)[0] + " other"
+    for order in ([(3, a), (3, b), (5, near)], [(3, b), (3, a), (5, near)], [(5, near), (3, a), (3, b), (3, b)]):
+        df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in order], DOC).withColumn("rep", F.lit(1)).withColumn("th", F.lit(2)).withColumn("component", F.lit("x"))
+        assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(df).collect()} == {(3, 3), (5, 3)}
+        kept = minhash.one_of_each(df)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(3, a), (3, b)])
 
 
 def test_forest_and_common_sizes():
@@ -484,6 +492,29 @@ def test_likelihood_estimate():
         assert (np.maximum(a, b) == minhash.registers(np.concatenate([x, y]))).all()
 
 
+@pytest.mark.parametrize("order", ["falling", "rising", "random"])
+def test_connected_chain(spark, order):
+    n = 10_000 if order == "random" else 1000
+    at = list(range(n))
+    if order == "random":
+        random.Random(1).shuffle(at)
+    edges = [(at[i + 1], at[i]) if order == "falling" else (at[i], at[i + 1]) for i in range(n - 1)]
+    random.Random(2).shuffle(edges)
+    got = connected(spark.createDataFrame(edges, "a long, b long").repartition(8)).collect()
+    assert len(got) == n and {r.component for r in got} == {0}
+
+
+def test_forest_joins_the_same(spark):
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        pairs = rng.integers(0, 30, (rng.integers(1, 40), 2)) * 10**12
+        a, b = common.forest(*pairs.T)
+        join = lambda edges: {frozenset(g) for g in groups(edges)}
+        assert join(pairs.tolist()) == join(list(zip(a.tolist(), b.tolist(), strict=True))) and (a < b).all()
+    big = spark.range(3000).selectExpr("id as a", "id + 1 as b").union(spark.range(3000).selectExpr("id as a", "0 as b"))
+    assert common.forests(big, block=64).count() < 6001
+
+
 def test_connected(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 260)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(5, 5), (None, 3)]
