@@ -6,7 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import bpe, minhash, mixing, quality, suffixes
-from tessella.llm.common import stored, table
+from tessella.llm.common import discard, stored, table
+
+#: Strings of `window` bytes that repeat are cut out: passages of 50 words take some 300 bytes, 250 at the least. The
+#: grams by which texts are cut keep their share of the window.
+REPEATED = {"window": 250, "gram": 80, "core": 220}
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,8 +24,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts out long strings that repeat. Documents of which nothing is left stay, with an empty text."""
-    return suffixes.cleaned(docs)
+    """Cuts out strings of 250 bytes and more that repeat. Documents of which nothing is left stay, with an empty text."""
+    return suffixes.cleaned(docs, **REPEATED)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        last, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage{i}")
+            discard(last)
     return docs
