@@ -40,6 +40,11 @@ def _map(values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def _some(values: Column, pattern: str) -> Column:
+    """Whether one of the values matches, in lower case."""
+    return F.exists(values, lambda x: F.lower(x).rlike(pattern))
+
+
 def candidate_ids(hits: DataFrame, walks: DataFrame) -> DataFrame:
     """(question_id, canonical_id, place): hits first, then ends of walks, then nodes on the way, each at its first place."""
     seeds = hits.select("question_id", "canonical_id", F.struct(F.lit(0), F.col("seq"), F.lit(0)).alias("o"))
@@ -152,7 +157,8 @@ def plans(questions: DataFrame, found: DataFrame, edges: DataFrame, aliases: dic
         "t_at": F.transform(pick(lambda r: kind(r, "HAS_TABLE") & r["at"]), lambda r: r["target"]), "moves": pick(lambda r: kind(r, "HAS_EVENT", "FROM_STATE", "TO_STATE", "TRIGGERED_BY")), "acts": pick(lambda r: kind(r, "HAS_CONTROL", "HAS_EVENT", "TRIGGERED_BY")),
     })
     words = F.regexp_extract_all(F.lower("question"), F.lit(r"(?U)([\wáéíóúñ]+)"), 1)
-    stems = [F.exists(words, lambda w, k=k: w.startswith(k)) & F.exists("acts", lambda r, v=v: F.lower(r["target_label"]).rlike("|".join(v))) for k, v in STEM_SUPPORT.items()]
+    labels = F.transform("acts", lambda r: r["target_label"])
+    stems = [_some(words, f"^{stem}") & _some(labels, "|".join(terms)) for stem, terms in STEM_SUPPORT.items()]
     table_columns = pick(lambda r: kind(r, "HAS_COLUMN") & F.array_contains(F.col("t_at"), r["source"]))
     q = q.withColumn("cols", table_columns).withColumn("search", first(F.filter("c_at", lambda r: r["searches"])))
     q = q.withColumn("beside", F.coalesce(first(F.filter("c_at", lambda r: r["named"] | r["lists"])), F.when(F.size("c_at") == 1, first(c("c_at")))))
@@ -189,9 +195,9 @@ def needs_abstention(question: Column, labels: Column) -> Column:
     words = F.regexp_extract_all(F.lower(question), F.lit(r"(?U)([\wáéíóúñ]+)"), 1)
     asked, backed = [], []
     for verb, forms in VERB_FORMS.items():
-        said = F.exists(words, lambda w, forms=forms: w.rlike(f"^(?:{forms})$"))
+        said = _some(words, f"^(?:{forms})$")
         asked.append(said)
-        backed.append(said & F.exists(labels, lambda x, verb=verb: F.lower(x).rlike("|".join(SUPPORTED_BY.get(verb, (verb,))))))
+        backed.append(said & _some(labels, "|".join(SUPPORTED_BY.get(verb, (verb,)))))
     return reduce(lambda a, b: a | b, asked) & ~reduce(lambda a, b: a | b, backed)
 
 
