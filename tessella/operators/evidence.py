@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import privacy, text
 
-# Most items of each kind in a package, and characters of its main text.
-LIMITS = {"fields": 50, "controls": 50, "tables": 10, "columns": 50, "links": 20, "states": 30, "events": 30, "transitions": 100, "evidence": 50}
+# Most items of each kind in a package, of columns in each table, of evidence ids and warnings; characters of
+# its main text; names of kinds there, in order.
+LIMITS = {"fields": 50, "controls": 50, "tables": 10, "ui_states": 20, "events": 30, "transitions": 30}
+COLUMNS, EVIDENCE_IDS, WARNINGS = 50, 100, 50
 MAIN_TEXT = 8000
+GROUPS = {"fields": "Campos", "controls": "Controles", "ui_states": "Estados", "events": "Eventos"}
 # Words that name an action; actions that change data; words that show that a text speaks of evidence.
 ACTIONS = {
     "search": ("buscar", "busqueda", "consultar", "consulta", "filtrar", "filtro"), "navigate": ("navegar", "navegacion", "pagina", "paginacion", "pagination", "siguiente", "anterior", "primera", "ultima"),
@@ -21,20 +24,101 @@ NEGATIVE = ("no se puede", "no puede", "no permite", "es imposible", "carece de"
 EPISTEMIC = ("la evidencia disponible no permite confirmar", "la evidencia no permite confirmar", "la estructura observada no demuestra", "la estructura no demuestra", "no se identificaron controles", "no hay evidencia estructural")
 
 
-def packages(screens: DataFrame, children: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
-    """One row a screen: for each kind the sorted distinct labels of its children, cut at the limit, and the kinds cut.
+def related(items: DataFrame, kind: str, source: str, effective: str) -> tuple[DataFrame, DataFrame]:
+    """(included, warnings) of a kind's items for every target at once.
 
-    children (screen_id, kind, label). Labels are cut to the limit in a window over distinct ones, so no screen's whole
-    set meets in a row.
+    Included (target, items' columns): approved or corrected items whose reference in force is the target; only a corrected
+    item may come from another one's children. Warnings (target, warning): items not yet approved that belong there by
+    their source, and corrected ones of other places without a correction (consistent is false), which are left out.
     """
-    from pyspark.sql import Window
+    own = items.where(F.col("entity_type") == kind)
+    good = F.col("status").isin("approved", "corrected")
+    moved = ~F.col(source).eqNullSafe(F.col(effective))
+    usable = good & F.col("consistent") & (~moved | (F.col("status") == "corrected"))
+    included = own.where(usable & F.col(effective).isNotNull()).withColumn("target", F.col(effective))
+    waiting = own.where(~good & F.col(source).isNotNull()).select(F.col(source).alias("target"), F.concat_ws(":", F.lit("excluded_review_status"), "entity_type", "canonical_id").alias("warning"))
+    odd = own.where(good & ~F.col("consistent") & moved & F.col(effective).isNotNull()).select(F.col(effective).alias("target"), F.concat(F.lit("ignored_inconsistent_corrected:"), F.col("entity_type")).alias("warning"))
+    return included, waiting.unionByName(odd)
+
+
+def integrity_errors(items: DataFrame) -> DataFrame:
+    """Items that may not be used: corrected ones without a correction, or whose content names another item."""
+    error = F.when((F.col("status") == "corrected") & ~F.col("consistent"), "corrected_without_history").when(~F.col("payload_id").eqNullSafe(F.col("canonical_id")), "inconsistent_payload")
+    return items.withColumn("error", error).where("error is not null")
 
+
+def valid_relations(rows: DataFrame, states: DataFrame, controls: DataFrame, ends: tuple[str, ...], trigger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(valid, warnings) of events (ends: source) or transitions (ends: source and target) against a screen's states.
+
+    rows have target (the screen) and canonical_id; states and controls are (target, canonical_id). An event without a state
+    is valid; a transition needs both, and one with a single known state is warned about. A trigger must be a known control.
+    """
+    out = rows
+    known = lambda df, key: df.select("target", F.col("canonical_id").alias(key), F.lit(True).alias(f"_{key}")).distinct()
+    for key in ends:
+        out = out.join(known(states, key), ["target", key], "left")
+    there = [F.coalesce(F.col(f"_{key}"), F.lit(False)) for key in ends]
+    name = lambda what: F.concat_ws(":", F.lit("invalid_relation"), "canonical_id", F.lit(what))
+    if len(ends) == 1:
+        fault = F.when(F.col(ends[0]).isNotNull() & ~there[0], name("source_state"))
+    else:
+        fault = F.when(~(there[0] & there[1]) & (there[0] | there[1]), name("state")).when(~(there[0] & there[1]), "")
+    if trigger:
+        out = out.join(known(controls, trigger), ["target", trigger], "left")
+        fault = F.coalesce(fault, F.when(F.col(trigger).isNotNull() & F.col(f"_{trigger}").isNull(), name("trigger_control")))
+    out = out.withColumn("_fault", fault)
+    return out.where("_fault is null").select(*rows.columns), out.where("_fault <> ''").select("target", F.col("_fault").alias("warning"))
+
+
+def packages(screens: DataFrame, children: DataFrame, limits: dict[str, int] = LIMITS) -> DataFrame:
+    """(screen_id, evidence map<kind, array<struct<id, label>>>, warnings): the children of each screen, within the limits.
+
+    children (screen_id, kind, id, label). Of equal labels, whatever their case and spaces, the smallest id stays; unsafe
+    labels are left out with a warning, blank ones without; items come in order of their ids, and a warning tells of a kind
+    that is cut. Ranks are found in windows over what is distinct, so no more than a limit's rows of a screen and kind meet.
+    Warnings are sorted and cut as well.
+    """
     most = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    distinct = children.where(F.col("kind").isin(*limits) & ~privacy.is_sensitive(F.col("label"))).select("screen_id", "kind", "label").distinct()
-    ranked = distinct.withColumn("r", F.row_number().over(Window.partitionBy("screen_id", "kind").orderBy("label"))).withColumn("most", F.element_at(most, F.col("kind"))).where("r <= most + 1")
-    kinds = ranked.groupBy("screen_id", "kind").agg(F.array_sort(F.collect_list(F.when(F.col("r") <= F.col("most"), F.col("label")))).alias("labels"), F.max(F.col("r") > F.col("most")).alias("cut"))
-    out = kinds.groupBy("screen_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "labels")))).alias("evidence"), F.array_sort(F.collect_list(F.when(F.col("cut"), F.col("kind")))).alias("warnings"))
-    return screens.select("screen_id").join(out, "screen_id", "left")
+    rows = children.where(F.col("kind").isin(*limits) & (F.trim(F.coalesce("label", F.lit(""))) != "")).withColumn("label", text.squeeze(F.col("label")))
+    rows = rows.withColumn("_bad", privacy.is_sensitive(F.col("label")) | (F.length("label") > 500))
+    unsafe = rows.where("_bad").select("screen_id", F.concat_ws(":", F.lit("excluded_sensitive"), "kind", "id").alias("warning"))
+    distinct = rows.where("not _bad").groupBy("screen_id", "kind", F.lower("label").alias("_k")).agg(F.min(F.struct("id", "label")).alias("i"))
+    ranked = distinct.select("screen_id", "kind", "i", F.element_at(most, F.col("kind")).alias("most"), F.row_number().over(Window.partitionBy("screen_id", "kind").orderBy("i")).alias("r")).where("r <= most + 1")
+    over = ranked.where("r > most").select("screen_id", F.concat(F.lit("limit_exceeded:"), F.col("kind")).alias("warning"))
+    kinds = ranked.where("r <= most").groupBy("screen_id", "kind").agg(F.array_sort(F.collect_list("i")).alias("items"))
+    out = kinds.groupBy("screen_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "items")))).alias("evidence"))
+    return screens.select("screen_id").join(out, "screen_id", "left").join(warned(unsafe.unionByName(over), "screen_id"), "screen_id", "left")
+
+
+def warned(warnings: DataFrame, key: str, most: int = WARNINGS) -> DataFrame:
+    """(key, warnings): the first `most` distinct warnings of each key, in order."""
+    ranked = warnings.select(key, "warning").distinct().withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("warning"))).where(F.col("r") <= most)
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list("warning")).alias("warnings"))
+
+
+def tables(children: DataFrame, columns: DataFrame, most: int = COLUMNS) -> DataFrame:
+    """(screen_id, id, name, columns): a screen's tables with up to `most` distinct columns each, in order of their ids; a
+    table without a name is called Tabla. columns (table_id, id, label)."""
+    rows = columns.where(F.trim(F.coalesce("label", F.lit(""))) != "").withColumn("r", F.row_number().over(Window.partitionBy("table_id").orderBy("id"))).where(F.col("r") <= most)
+    distinct = rows.groupBy("table_id", F.lower(text.squeeze(F.col("label"))).alias("_k")).agg(F.min(F.struct("id", "label")).alias("i"))
+    each = distinct.groupBy("table_id").agg(F.array_sort(F.collect_list("i")).alias("columns"))
+    named = children.where("kind = 'tables'").select("screen_id", "id", F.coalesce(F.nullif(F.trim("label"), F.lit("")), F.lit("Tabla")).alias("name"))
+    return named.join(each, named["id"] == each["table_id"], "left").select("screen_id", "id", "name", F.coalesce("columns", F.array().cast(each.schema["columns"].dataType)).alias("columns"))
+
+
+def main_text(module: Column, title: Column, packed: Column, limit: int = MAIN_TEXT) -> Column:
+    """A package in words, a line for each kind, as many whole lines as fit."""
+    lines = [F.concat(F.lit("Módulo: "), module), F.concat(F.lit("Pantalla: "), title)]
+    for kind, name in GROUPS.items():
+        labels = F.array_distinct(F.transform(F.try_element_at(packed, F.lit(kind)), lambda x: x["label"]))
+        lines.append(F.when(F.size(labels) > 0, F.concat(F.lit(f"{name}: "), F.array_join(labels, "; "))))
+    return whole_lines(F.array_join(F.array_compact(F.array(*lines)), "\n"), limit)
+
+
+def sealed(package: DataFrame, *columns: str) -> DataFrame:
+    """package with evidence_hash over the columns' JSON, names in order, and whether a given hash is still right."""
+    body = F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    return package.withColumn("evidence_hash", F.sha2(body, 256))
 
 
 def whole_lines(value: Column, limit: int = MAIN_TEXT) -> Column:

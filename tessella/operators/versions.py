@@ -9,7 +9,7 @@ from tessella.operators.relations import carried_forward, set_or_reset
 
 # The status that each review action leads to, for structural items and for proposals.
 STRUCTURAL = {"approve": "approved", "reject": "rejected", "correct": "corrected", "reset": "pending"}
-SEMANTIC = (("pending", "approve", "approved"), ("pending", "correct", "corrected"), ("pending", "reject", "rejected"), ("corrected", "approve", "approved"), ("corrected", "correct", "corrected"), ("corrected", "reject", "rejected"))
+SEMANTIC = (("pending", "approve", "approved"), ("pending", "reject", "rejected"), ("pending", "correct", "corrected"), ("approved", "reset", "pending"), ("rejected", "reset", "pending"), ("corrected", "reset", "pending"))
 # Bookkeeping that a content hash leaves out.
 VOLATILE_KEYS = ("generated_at", "imported_at", "created_at", "updated_at", "reviewed_at", "reviewed_by", "review_notes")
 

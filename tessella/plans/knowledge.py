@@ -101,7 +101,7 @@ def node_upsert(spark: SparkSession, sf: str) -> DataFrame:
 @query("""
 WITH a AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'corrected' ELSE 'approved' END AS status, ['approve', 'correct', 'reject'][(o_orderkey % 3 + 1)::INT] AS action,
   CASE WHEN o_orderkey % 4 <> 0 THEN 'note' END AS notes, o_orderkey % 10 AS revision, CASE WHEN o_orderkey % 11 = 0 THEN 99 ELSE o_orderkey % 10 END AS expected, o_orderkey % 2 = 0 AS changed FROM orders)
-SELECT o_orderkey AS item_id, CASE WHEN expected <> revision THEN 'revision_conflict' WHEN status = 'approved' THEN 'transition_not_allowed' WHEN action IN ('reject', 'correct') AND notes IS NULL THEN 'notes_required'
+SELECT o_orderkey AS item_id, CASE WHEN expected <> revision THEN 'revision_conflict' WHEN status <> 'pending' THEN 'transition_not_allowed' WHEN action IN ('reject', 'correct') AND notes IS NULL THEN 'notes_required'
   WHEN action = 'correct' AND NOT changed THEN 'correction_changes_nothing' END AS error FROM a
 """)
 def review_state_machine(spark: SparkSession, sf: str) -> DataFrame:
@@ -163,19 +163,6 @@ def latest_proposal(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("o_custkey").agg(F.max_by("l_orderkey", F.struct("l_shipdate", "l_orderkey", "l_linenumber")).alias("l_orderkey"))
 
 
-@query("""
-WITH d AS (SELECT DISTINCT o_custkey AS screen_id, CASE WHEN o_orderstatus = 'O' THEN 'fields' ELSE 'links' END AS kind, o_orderpriority || '-' || (o_orderkey % 13) AS label FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY screen_id, kind ORDER BY label) AS r FROM d)
-SELECT c_custkey AS screen_id, (SELECT string_agg(label, ',' ORDER BY label) FROM r WHERE r.screen_id = c_custkey AND kind = 'fields' AND r <= 4) AS fields,
-  coalesce((SELECT string_agg(kind, ',' ORDER BY kind) FROM (SELECT kind, count(*) AS n FROM r WHERE r.screen_id = c_custkey GROUP BY kind HAVING n > 4)), '') AS warnings FROM customer
-""")
-def evidence_package(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as fields and links of their customer, at most four of each."""
-    child = load(spark, sf, "orders").select(F.col("o_custkey").alias("screen_id"), F.when(F.col("o_orderstatus") == "O", "fields").otherwise("links").alias("kind"), F.concat("o_orderpriority", F.lit("-"), (F.col("o_orderkey") % 13).cast("string")).alias("label"))
-    packed = evidence.packages(load(spark, sf, "customer").select(F.col("c_custkey").alias("screen_id")), child, {"fields": 4, "links": 4})
-    return packed.select("screen_id", F.array_join(F.try_element_at("evidence", F.lit("fields")), ",").alias("fields"), F.coalesce(F.array_join("warnings", ","), F.lit("")).alias("warnings"))
-
-
 @query("""
 SELECT conv_id, turn, CASE WHEN turn % 5 = 0 THEN 'missing_reference' WHEN turn % 3 = 0 THEN 'unknown_reference' END AS error FROM conversations
 """)

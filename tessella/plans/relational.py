@@ -273,16 +273,6 @@ def pipeline_funnel(spark: SparkSession, sf: str) -> DataFrame:
     return keys.agg(F.sum("n").alias("raw"), F.count("*").alias("deduplicated"), F.count_if(eligible).alias("eligible"), F.count_if(eligible & (F.col("event_type") != "error")).alias("allowed"))
 
 
-@query("""
-WITH k AS (SELECT c_mktsegment AS module, c_nationkey, count(*) AS screens, count(*) FILTER (c_acctbal < 0) AS unavailable FROM customer GROUP BY ALL)
-SELECT n_name AS erp, module, screens, unavailable FROM k JOIN nation ON c_nationkey = n_nationkey
-""")
-def knowledge_tree(spark: SparkSession, sf: str) -> DataFrame:
-    """Systems, their modules, and counters of their screens."""
-    counts = load(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("module"), F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("screens"), F.count_if(F.col("c_acctbal") < 0).alias("unavailable"))
-    return counts.join(load(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("erp")), "n_nationkey").select("erp", "module", "screens", "unavailable")
-
-
 @query("""
 WITH o AS (SELECT event_id, CASE WHEN event_type = 'error' AND value < 10 THEN 'interaction_failed' WHEN event_type = 'error' THEN 'execution_error' WHEN value > 50 THEN 'changed' ELSE 'unchanged' END AS outcome FROM events)
 SELECT outcome, count(*) AS n FROM o GROUP BY outcome
