@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, language, minhash, mixing, passages, quality, sharding, suffixes, topk, vectors
-from tessella.llm.common import table
+from tessella.llm.common import shared_dir, table
 
 SHARDS = 40
 
@@ -52,8 +53,9 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = sharding.first_map(spark, SHARDS)
-    return sharding.shard(table(spark, sf_dir, "documents"), now, sharding.add_shard(now, SHARDS))
+    """The maps of 40 shards and of one more are versions of a stored table."""
+    now, more = sharding.grown(spark, SHARDS, f"{shared_dir(spark)}/slot-maps-{uuid.uuid4().hex}")
+    return sharding.shard(table(spark, sf_dir, "documents"), now, more)
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

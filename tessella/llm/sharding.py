@@ -1,7 +1,8 @@
 """Operator 9, sharding by fixed virtual slots. DataFrame functions only.
 
-A record's slot is a hash of its id. A versioned map gives each slot's shard; adding a shard or levelling bytes edits
-the map, so only records of edited slots move. Maps have one row a slot (a few thousand), which bounds what is broadcast.
+A record's slot is a hash of its id. A versioned map, kept as a table, gives each slot's shard; adding a shard or levelling
+bytes edits the map, so only records of edited slots move. Maps have one row a slot (a few thousand), and starts of places
+SALTS rows a slot, which bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SLOTS = 4096
+#: Virtual slots, and the parts in which a slot's records are numbered.
+SLOTS, SALTS = 4096, 16
 MAP_SCHEMA = "version int, virtual_slot int, shard int"
 
 
@@ -45,7 +47,7 @@ def add_shard(slot_map: DataFrame, shards: int, slots: int = SLOTS) -> DataFrame
 
 def slot_bytes(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(virtual_slot, n_rows, n_bytes), one row a slot that has records."""
-    size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 16
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long") + 16
     return docs.select(slot_of(F.col(id_col), slots).alias("virtual_slot"), size.alias("s")).groupBy("virtual_slot").agg(F.count("*").alias("n_rows"), F.sum("s").alias("n_bytes"))
 
 
@@ -74,24 +76,40 @@ def read_map(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.schema(MAP_SCHEMA).parquet(path).where(F.col("version") == version)
 
 
+def grown(spark: SparkSession, shards: int, path: str, slots: int = SLOTS) -> tuple[DataFrame, DataFrame]:
+    """The maps for `shards` and for one more shard, from the store at path; they are written there if it has none."""
+    first = first_map(spark, shards, slots)
+    write_map(first, path)
+    now = read_map(spark, path, 1)
+    write_map(add_shard(now, shards, slots), path)
+    return now, read_map(spark, path, 2)
+
+
 def shard(docs: DataFrame, slot_map: DataFrame, grown_map: DataFrame | None = None, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each record's id, size, checksum, virtual slot, shard and place (`slot`, gapless from 0 in its shard).
+    """Each record's id, size, checksum, virtual slot, shard, place (`slot`, gapless from 0 in its shard) and its virtual
+    slot's bytes.
 
     Law `key`: the id and the map decide. Null texts have size 16 and the checksum of no bytes; null ids share a slot;
-    repeated rows take neighbouring places; an empty table gives no rows; other columns are not read. Places are numbered
-    inside a virtual slot and moved by the counts of the shard's earlier slots, so no task orders a whole shard.
+    repeated rows take neighbouring places; an empty table gives no rows; other columns, whatever their names, are not
+    read. Equal records are counted before they are shuffled, and spread out again at the end. Places are numbered in parts
+    of a virtual slot, by checksum, and moved by the counts of the shard's earlier parts, so no task orders a whole shard,
+    nor a slot that holds many different texts without an id.
     """
-    key = slot_of(F.col(id_col), slots)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    checksum = F.crc32(text)
+    rows = docs.select(
+        F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 16).alias("size"), checksum.alias("text_crc32"), slot_of(F.col(id_col), slots).alias("virtual_slot"), (checksum % SALTS).cast("int").alias("salt"),
+    )
+    distinct = rows.groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    usage = rows.groupBy("virtual_slot", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("b"))
     maps = slot_map.select("virtual_slot", "shard")
     maps = maps.join(grown_map.select("virtual_slot", F.col("shard").alias("grown_shard")), "virtual_slot") if grown_map is not None else maps.withColumn("grown_shard", F.lit(None).cast("int"))
-    counts = docs.groupBy(key.alias("virtual_slot")).agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = maps.join(counts, "virtual_slot", "left").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col), (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"), key.alias("virtual_slot"))
-    place = Window.partitionBy("virtual_slot").orderBy(id_col, "text_crc32", "size")
-    rows = rows.withColumn("place", F.row_number().over(place) - 1)
-    # starts has `slots` rows by construction
-    return rows.join(F.broadcast(starts), "virtual_slot").select(
-        id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place")).cast("long").alias("slot"), "grown_shard", "virtual_slot",
+    before = Window.partitionBy("shard").orderBy("virtual_slot", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = maps.join(usage, "virtual_slot").withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("slot_bytes", F.sum("b").over(Window.partitionBy("virtual_slot"))).drop("n", "b")
+    place = Window.partitionBy("virtual_slot", "salt").orderBy("id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = distinct.withColumn("place", F.coalesce(F.sum("copies").over(place), F.lit(0)))
+    # starts has slots * SALTS rows at most, by construction
+    joined = placed.join(F.broadcast(starts), ["virtual_slot", "salt"]).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return joined.select(
+        F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("start") + F.col("place") + F.col("copy")).cast("long").alias("slot"), "grown_shard", "virtual_slot", "slot_bytes",
     )

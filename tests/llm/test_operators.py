@@ -398,6 +398,31 @@ def test_sharding(spark, tmp_path):
     assert sharding.shard(empty(spark), now).count() == 0
 
 
+def test_sharding_by_brute_force(spark, tmp_path):
+    """Shards, grown shards, places and bytes from a plain version; hot null ids and many equal rows."""
+    rng = random.Random(4)
+    rows = [(rng.choice([None, None, *range(500)]), rng.choice([None, "", "same", "é", f"t{i}"])) for i in range(3000)] + [(7, "again")] * 900
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC).withColumn("slot", F.lit("mine")).withColumn("shard", F.lit(-1)).withColumn("id", F.lit(0))
+    now, more = sharding.grown(spark, 40, str(tmp_path / "maps"))
+    got = sharding.shard(df, now, more).collect()
+    number = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+    order = sorted(range(4096), key=lambda v: (number(f"{v}:deal"), v))
+    home = {v: i % 40 for i, v in enumerate(order)}
+    turns = sorted((sorted((w for w in home if home[w] == home[v]), key=lambda w: (number(f"{w}:grow40"), w)).index(v), home[v], v) for v in range(4096))
+    moved = {v for _, _, v in turns[: 4096 // 41]}
+    raw = lambda t: (t or "").encode()
+    key = lambda i: number("null" if i is None else str(i)) % 4096
+    records = sorted(((home[key(i)], key(i), zlib.crc32(raw(t)) % 16, i is not None, i or 0, zlib.crc32(raw(t)), len(raw(t)) + 16), i) for i, t in rows)
+    size = {}
+    for (_, v, *_, n), _ in records:
+        size[v] = size.get(v, 0) + n
+    want, at = [], {}
+    for (shard, v, _, _, _, crc, n), i in records:
+        want.append((i, n, crc, shard, at.setdefault(shard, 0), 40 if v in moved else shard, v, size[v]))
+        at[shard] += 1
+    assert sorted(map(str, want)) == sorted(str((r.doc_id, r.size, r.text_crc32, r.shard, r.slot, r.grown_shard, r.virtual_slot, r.slot_bytes)) for r in got)
+
+
 # 10
 
 
