@@ -48,11 +48,18 @@ FORBIDDEN_KEYS = ("password", "token", "cookie", "authorization", "username", "e
 
 def sanitised(text: Column, limit: int = 4000) -> Column:
     """struct(clean, detections): hits go in order, each pattern sees what the ones before it left."""
-    start = F.struct(squeeze(F.coalesce(text, F.lit(""))).alias("t"), F.lit(0).alias("n"))
-    end = F.aggregate(F.array(*map(F.lit, PATTERNS)), start, lambda s, p: F.struct(F.regexp_replace(s["t"], p, F.lit(" ")).alias("t"), (s["n"] + F.regexp_count(s["t"], p)).cast("int").alias("n")))
+    state = F.array(F.struct(squeeze(F.coalesce(text, F.lit(""))).alias("t"), F.lit(0).alias("n")))
+    for pattern in PATTERNS:
+        # the lambda names what the last step left, so nothing is evaluated twice; each pattern is a literal, compiled once
+        state = F.transform(state, _step(pattern))
+    end = state[0]
     return F.struct(F.substring(squeeze(end["t"]), 1, limit).alias("clean"), end["n"].alias("detections"))
 
 
+def _step(pattern: str):
+    return lambda s: F.struct(F.regexp_replace(s["t"], pattern, " ").alias("t"), (s["n"] + F.regexp_count(s["t"], F.lit(pattern))).cast("int").alias("n"))
+
+
 def is_sensitive(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [F.coalesce(text, F.lit("")).rlike(p) for p in PATTERNS])
 

@@ -1,52 +1,15 @@
-"""Answers from relations: plans by intent, abstention, facts and context."""
+"""What questions are about, and what is said when nothing is known."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Verb stems of questions that would change data, and what an answer says when nothing supports one.
-MUTATIVE_STEMS = ("elimin", "borr", "anul", "modific", "edit", "guard", "cre", "registr", "aprob", "confirm")
+# What is said when nothing supports an answer.
 ABSTAIN = "No encontré conocimiento validado suficiente para responder esa pregunta."
-# The relation that answers each kind of question.
-ANSWERED_BY = {"LIST_FIELDS": "HAS_FIELD", "LOCATE_FIELD": "HAS_FIELD", "SEARCH_BY_FIELD": "HAS_FIELD", "LOCATE_SCREEN": "HAS_SCREEN", "FIND_CONTROL": "HAS_CONTROL", "LIST_COLUMNS": "HAS_COLUMN", "NAVIGATION_EVENT": "HAS_EVENT", "MUTATIVE_ACTION": "HAS_CONTROL"}
-
 
 def focal(relations: DataFrame) -> DataFrame:
     """(question_id, focal): the entity with most relations, the smallest id among equals."""
     ends = relations.select("question_id", F.explode(F.array("source", "target")).alias("id"))
     degree = ends.groupBy("question_id", "id").agg(F.count("*").alias("n"))
     return degree.groupBy("question_id").agg(F.min_by("id", F.struct(-F.col("n"), F.col("id"))).alias("focal"))
-
-
-def plans(questions: DataFrame, relations: DataFrame) -> DataFrame:
-    """(question_id, intent, supported, evidence, answer): the relations of the kind that the intent asks for, in order.
-
-    questions (question_id, intent); relations (question_id, seq, type, source, target, target_label). Lists name at most
-    ten targets. A question without an intent, or without such relations, is not supported.
-    """
-    kind = F.create_map(*[F.lit(x) for kv in ANSWERED_BY.items() for x in kv])
-    asked = questions.where("intent is not null").withColumn("type", F.try_element_at(kind, F.col("intent")))
-    found = asked.join(relations, ["question_id", "type"])
-    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy("seq"))).where("r <= 10")
-    said = ranked.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("r", "source", "target", "target_label"))).alias("rows"))
-    ids = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.array(r["source"], r["target"]))))
-    answer = F.concat(F.lit("Validated: "), F.array_join(F.array_distinct(F.transform("rows", lambda r: r["target_label"])), ", "))
-    out = questions.join(said, "question_id", "left")
-    ok = F.col("rows").isNotNull()
-    return out.select("question_id", "intent", ok.alias("supported"), F.when(ok, ids).otherwise(F.array().cast("array<string>")).alias("evidence"), F.when(ok, answer).otherwise(ABSTAIN).alias("answer"))
-
-
-def fact(kind: Column, source: Column, target: Column) -> Column:
-    return F.when(kind == "HAS_FIELD", F.format_string("%s has the field %s.", source, target)).when(kind == "HAS_CONTROL", F.format_string("%s has the control %s.", source, target)).otherwise(F.format_string("%s %s %s.", source, F.lower(F.replace(kind, F.lit("_"), F.lit(" "))), target))
-
-
-def context(entities: Column, hits: Column, facts: Column, characters: int = 6000) -> Column:
-    """At most ten entities, eight hits and twelve facts, as lines, cut."""
-    return F.substring(F.array_join(F.concat(F.slice(entities, 1, 10), F.slice(hits, 1, 8), F.slice(facts, 1, 12)), "\n"), 1, characters)
-
-
-def mentions(question_key: Column, label_key: Column, aliases: Column) -> Column:
-    """A label or one of its aliases is inside the question; empty labels are not."""
-    inside = lambda x: (x != "") & F.contains(question_key, x)
-    return inside(label_key) | F.coalesce(F.exists(aliases, inside), F.lit(False))

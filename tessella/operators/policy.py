@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import unicodedata
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions import text
@@ -40,49 +42,12 @@ def decide(category: Column, label: Column, dangerous_words: tuple[str, ...], di
     )
 
 
-def score(label: Column, tag: Column, role: Column, expanded: Column, selector: Column, dangerous_words: tuple[str, ...] = (), longest: int = 80) -> Column:
-    """How worth exploring an element is: a sum of what speaks for and against it."""
-    has = F.coalesce(label, F.lit("")) != ""
-    signs = (
-        (has, 2), (has & (F.length(label) <= longest), 1), (tag.isin("a", "button"), 2), (role.isin("button", "menuitem", "tab", "option"), 2), (expanded.isNotNull(), 3),
-        (selector.isNotNull() & (selector != ""), 1), (selector.isNull() | (selector == ""), -5), (contains_any(label, dangerous_words), -5),
-    )
-    total = F.lit(0)
-    for holds, weight in signs:
-        total = total + F.when(F.coalesce(holds, F.lit(False)), weight).otherwise(0)
-    return total
-
-
-def category(label: Column, tag: Column, role: Column, href: Column, expanded: Column) -> Column:
-    """The event that using an element is."""
-    key = text.label_key(label)
-    return (
-        F.when(key.rlike(r"\b(eliminar|borrar|anular|guardar|crear|editar|delete|save)\b"), "mutative_action")
-        .when(role == "tab", "activate_tab")
-        .when(key.rlike(r"\b(buscar|search)\b"), "submit_search")
-        .when(key.rlike(r"^(\d+|siguiente|anterior|next|previous|[<>«»]+)$"), "change_pagination")
-        .when(expanded == "false", "expand_menu").when(expanded == "true", "collapse_menu")
-        .when((tag == "a") & href.isNotNull(), "navigation_link")
-        .otherwise("unknown")
-    )
-
-
-def best_candidates(df: DataFrame, group: str, key: str, quality: list[Column], seq: str) -> DataFrame:
-    """The best row of each dedup key; among equals the first."""
-    w = Window.partitionBy(group, key).orderBy(*quality, F.col(seq))
-    return df.withColumn("_b", F.row_number().over(w)).where("_b = 1").drop("_b")
-
-
-def candidate_views(df: DataFrame, group: str, decision: str, order: list[Column], limit: int) -> DataFrame:
-    """Each group's first `limit` rows of each decision."""
-    w = Window.partitionBy(group, decision).orderBy(*order)
-    return df.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= limit)
-
-
-def unavailable(main_text: Column, patterns: tuple[str, ...], least: int = 1) -> Column:
-    """Whether a text has at least `least` of the signs of an error screen."""
-    key = text.ascii_key(main_text)
-    return F.size(F.filter(F.array(*map(F.lit, patterns)), lambda p: F.contains(key, p))) >= least
+def unavailable(main_text: Column, whole_text: Column, patterns: tuple[str, ...], least: int = 1) -> Column:
+    """Whether a screen has at least `least` of the signs of an error screen: in its main text, or in its whole text where
+    that is blank. Case and accents don't count, punctuation does; blank patterns are no signs."""
+    plain = ("".join(c for c in unicodedata.normalize("NFKD", x.casefold()) if not unicodedata.combining(c)) for x in patterns)
+    signs = [F.contains(text.availability_key(F.coalesce(F.nullif(F.trim(main_text), F.lit("")), whole_text, F.lit(""))), F.lit(" ".join(p.split()))).cast("int") for p in plain if p.strip()]
+    return sum(signs[1:], signs[0]) >= least if signs else F.lit(False)
 
 
 def reasons(**rules: Column) -> Column:

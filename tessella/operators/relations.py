@@ -15,10 +15,9 @@ def longest_prefix(df: DataFrame, route: str, prefixes: DataFrame, prefix: str,
 
     Each route is joined on its ancestors by equality, so nothing is compared with every prefix.
     """
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    up = keyed.select("_row", F.explode(ancestors(F.col(route))).alias("_p"))
-    found = up.join(prefixes.select(F.col(prefix).alias("_p"), F.col(value).alias("_v")), "_p").groupBy("_row").agg(F.max_by("_v", F.length("_p")).alias(value))
-    return keyed.join(found, "_row", "left").drop("_row")
+    up = df.select(F.col(route).alias("_r")).distinct().withColumn("_p", F.explode(ancestors(F.col("_r"))))
+    found = up.join(prefixes.select(F.col(prefix).alias("_p"), F.col(value).alias("_v")), "_p").groupBy("_r").agg(F.max_by("_v", F.length("_p")).alias(value))
+    return df.join(found, df[route] == found["_r"], "left").drop("_r")
 
 
 def dangling(children: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:

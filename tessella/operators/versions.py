@@ -10,8 +10,6 @@ from tessella.operators.relations import carried_forward, set_or_reset
 # The status that each review action leads to, for structural items and for proposals.
 STRUCTURAL = {"approve": "approved", "reject": "rejected", "correct": "corrected", "reset": "pending"}
 SEMANTIC = (("pending", "approve", "approved"), ("pending", "reject", "rejected"), ("pending", "correct", "corrected"), ("approved", "reset", "pending"), ("rejected", "reset", "pending"), ("corrected", "reset", "pending"))
-# Bookkeeping that a content hash leaves out.
-VOLATILE_KEYS = ("generated_at", "imported_at", "created_at", "updated_at", "reviewed_at", "reviewed_by", "review_notes")
 
 
 def effective(items: DataFrame, log: DataFrame, key: str = "item_id") -> DataFrame:
@@ -73,7 +71,7 @@ def resolved_version(versions: DataFrame, erp: str | None = None, version: str |
     if erp is not None:
         asked = asked.where(F.col("erp_id") == erp)
     asked = asked.where(F.col("version") == version) if version is not None else asked.where("status = 'active'")
-    found = asked.agg(F.count("*").alias("n"), F.first("erp_id").alias("erp_id"), F.first("version").alias("version"))
+    found = asked.agg(F.count("*").alias("n"), F.min("erp_id").alias("erp_id"), F.min("version").alias("version"))
     error = F.when(F.col("n") == 0, "no_version").when(F.col("n") > 1, "ambiguous_version")
     return found.select(F.when(error.isNull(), F.col("erp_id")).alias("erp_id"), F.when(error.isNull(), F.col("version")).alias("version"), error.alias("error"))
 
@@ -90,10 +88,3 @@ def imported(new: DataFrame, versions: DataFrame, items: DataFrame, erp: str, ve
     kept = versions.join(is_new, F.expr("true")).withColumn("status", F.when(F.col("is_new") & (F.col("erp_id") == erp) & (F.col("status") == "active"), "archived").otherwise(F.col("status"))).drop("is_new")
     added = is_new.where("is_new").select(F.lit(erp).alias("erp_id"), F.lit(version).alias("version"), F.lit("active").alias("status"))
     return items.unionByName(rows, allowMissingColumns=True), kept.unionByName(added)
-
-
-def functional(payload: Column, keys: tuple[str, ...] = VOLATILE_KEYS) -> Column:
-    """A JSON object without bookkeeping, as compact JSON with sorted names; values stay as written."""
-    fields = F.from_json(payload, "map<string,string>")
-    kept = F.map_filter(fields, lambda k, v: ~k.isin(*keys))
-    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(kept))))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text
 from tessella.operators import documents, projection, retrieval, search
 from tessella.plans.base import ENTITIES, entities
-from tessella.plans.publishing import _SAFE, SCOPE
+from tessella.plans.publishing import _SAFE
 from tessella.plans.registry import query
 from tessella.session import load
 from tessella.sources.shared import written_once

@@ -57,7 +57,7 @@ def build(erp: str, screens: DataFrame, states: DataFrame, transitions: DataFram
     out["state"] = matched.select(_ident("state", F.col("screen_id"), F.col("signature")).alias("state_key"), "state_id", "screen_id", "title", "signature")
     end = lambda k: out["state"].select(F.col("state_id").alias(f"{k}_state_id"), F.col("state_key").alias(k))
     found = transitions.join(end("source"), "source_state_id").join(end("target"), "target_state_id")
-    out["transition"] = found.select(_ident("transition", F.col("source"), F.col("target"), F.col("event_type"), F.col("selector")).alias("transition_id"), "source", "target", "event_type", "label").dropDuplicates(["transition_id"])
+    out["transition"] = found.select(_ident("transition", F.col("source"), F.col("target"), F.col("event_type"), F.col("selector")).alias("transition_id"), "source", "target", "event_type", "label").groupBy("transition_id", "source", "target", "event_type").agg(F.min("label").alias("label"))
     lost = st.join(out["screen"].select("route"), "route", "left_anti").select(F.lit("state_without_screen").alias("code"), F.col("state_id").alias("subject"))
     known = out["state"].select("state_id")
     half = transitions.select(F.explode(F.array("source_state_id", "target_state_id")).alias("state_id")).join(known, "state_id", "left_anti").distinct().select(F.lit("incomplete_transition").alias("code"), F.col("state_id").alias("subject"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import privacy, routes, text
-from tessella.operators import html, policy, relations, search
+from tessella.operators import candidates, html, policy, relations, search
 from tessella.plans.registry import query
 from tessella.session import load
 
@@ -103,14 +103,31 @@ def label_keys(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select("doc_id", text.label_key(F.col("text")).alias("label"))
 
 
-@query()
+_FOLD = "replace(lower(strip_accents({0})), 'ß', 'ss')"
+_HEAD = "regexp_extract_all(" + _SHOWN.format("html") + ", '<h[1-6]\\b[^>]*>(.*?)</h[1-6]>', 1, 'is')[1]"
+_SQ = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query(f"""
+WITH x AS (SELECT page_id, {_PLAIN.format(_HEAD)} AS h FROM pages), f AS (SELECT page_id, h, {_FOLD.format('h')} AS f FROM x)
+SELECT page_id, {_SQ.format("regexp_replace(f, '[^a-z0-9/]+', ' ', 'g')")} AS search, {_SQ.format("regexp_replace(f, '[^a-z0-9]+', ' ', 'g')")} AS id, {_SQ.format("regexp_replace(f, '[^[:word:][:space:]]', ' ', 'g')")} AS question,
+  {_SQ.format('f')} AS availability, lower({_SQ.format('h')}) AS signature, regexp_replace(regexp_replace(f, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM f
+""")
 def normalised_keys(spark: SparkSession, sf: str) -> DataFrame:
     """The normalisers side by side, on headings of pages."""
     head = F.try_element_at(html.headings(F.col("html")), F.lit(1))
     return load(spark, sf, "pages").select("page_id", head.alias("h")).select("page_id", text.search_key(F.col("h")).alias("search"), text.id_key(F.col("h")).alias("id"), text.question_key(F.col("h")).alias("question"), text.availability_key(F.col("h")).alias("availability"), text.signature_key(F.col("h")).alias("signature"), text.slug(F.col("h")).alias("slug"))
 
 
-@query()
+_STOP = ", ".join(repr(w) for w in text.STOP_WORDS)
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, list_filter(string_split(translate({_SQ.format("regexp_replace(" + _FOLD.format("text") + ", '[^a-z0-9/]+', ' ', 'g')")}, '/', ' '), ' '), lambda w: w <> '' AND w NOT IN ({_STOP})) AS w FROM documents),
+s AS (SELECT doc_id, list_transform(w, lambda w: CASE WHEN w IN ('modulo', 'modulos') THEN 'pantalla' WHEN length(w) > 6 AND ends_with(w, 'ciones') THEN w[:length(w) - 6] || 'cion' WHEN length(w) > 4 AND ends_with(w, 'es') THEN w[:length(w) - 2]
+  WHEN length(w) > 3 AND ends_with(w, 's') AND w[length(w) - 1:length(w) - 1] IN ('a', 'e', 'i', 'o', 'u') THEN w[:length(w) - 1] ELSE w END) AS t FROM w)
+SELECT doc_id, array_to_string(list_sort(list_distinct(t)), ' ') AS tokens FROM s
+""")
 def token_set_normalize(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents")
     return docs.select("doc_id", F.array_join(F.array_sort(text.tokens(text.search_key(F.col("text")))), " ").alias("tokens"))
@@ -170,7 +187,16 @@ def answer_intents(spark: SparkSession, sf: str) -> DataFrame:
     return users.select("conv_id", "turn", search.intent(F.col("text")).alias("intent"))
 
 
-@query()
+_PAGE_KEY = _SQ.format("regexp_replace(lower(text), '[^a-z0-9/]+', ' ', 'g')")
+
+
+@query(f"""
+WITH q AS (SELECT conv_id, turn, {_PAGE_KEY} AS k, string_split({_PAGE_KEY}, ' ') AS w FROM conversations WHERE role = 'user'),
+n AS (SELECT *, len(list_distinct(list_transform(list_filter(string_split(translate(k, '/', ' '), ' '), lambda x: x <> '' AND x NOT IN ({_STOP})), lambda w: CASE WHEN w IN ('modulo', 'modulos') THEN 'pantalla' WHEN length(w) > 6 AND ends_with(w, 'ciones') THEN w[:length(w) - 6] || 'cion' WHEN length(w) > 4 AND ends_with(w, 'es') THEN w[:length(w) - 2]
+  WHEN length(w) > 3 AND ends_with(w, 's') AND w[length(w) - 1:length(w) - 1] IN ('a', 'e', 'i', 'o', 'u') THEN w[:length(w) - 1] ELSE w END))) AS n FROM q)
+SELECT conv_id, turn, CASE WHEN list_has_any(w, ['campo', 'campos']) THEN 'fields' WHEN list_has_any(w, ['boton', 'botones', 'accion', 'acciones']) THEN 'buttons' WHEN list_has_any(w, ['tabla', 'tablas', 'columnas', 'resultados']) THEN 'tables'
+  WHEN regexp_matches(k, 'que puedo hacer|para que sirve|que contiene|describe') THEN 'describe' WHEN regexp_matches(k, 'donde|como reviso|como consulto|como encuentro|ruta') THEN 'locate' WHEN n <= 4 THEN 'locate' ELSE 'unknown' END AS intent FROM n
+""")
 def page_intents(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", search.page_intent(F.col("text")).alias("intent"))
 
@@ -213,21 +239,39 @@ def event_policy(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").select("event_id", said.alias("s")).select("event_id", "s.decision", "s.risk")
 
 
-@query()
+_CAND = f"""
+WITH l AS (SELECT page_id, {_SHOWN.format('html')} AS h FROM pages),
+x AS (SELECT page_id, unnest(regexp_extract_all(h, '<a\\b[^>]*?\\bhref="([^"]*)"[^>]*>(.*?)</a>', 1, 'is')) AS href, unnest(regexp_extract_all(h, '<a\\b[^>]*?\\bhref="([^"]*)"[^>]*>(.*?)</a>', 2, 'is')) AS raw,
+  generate_subscripts(regexp_extract_all(h, '<a\\b[^>]*?\\bhref="([^"]*)"[^>]*>(.*?)</a>', 1, 'is'), 1) - 1 AS seq FROM l),
+y AS (SELECT page_id, seq, nullif(trim(href), '') AS href, {_PLAIN.format('raw')} AS label FROM x),
+z AS (SELECT *, translate(lower(label), 'áéíóúüñ', 'aeiouun') AS k, CASE WHEN length(label) > 100 THEN -10 ELSE CASE WHEN label <> '' THEN 3 ELSE 0 END + 3 - CASE WHEN regexp_matches(lower(label), 'delete|borrar') THEN 5 ELSE 0 END END AS score,
+  length(label) <= 100 AND regexp_matches(lower(label), 'delete|borrar') AS danger FROM y),
+c AS (SELECT *, CASE WHEN danger OR list_has_any(string_split(k, ' '), [{', '.join(repr(w) for w in candidates.MUTATIVE_WORDS)}]) THEN 'mutative_action' ELSE 'navigation_link' END AS category FROM z),
+b AS (SELECT *, CASE WHEN category = 'navigation_link' AND label <> '' THEN 'semantic::navigation_link::main_content::' || k ELSE 'selector::a:nth-of-type(' || seq || ')' END AS k0 FROM c),
+f AS (SELECT *, CASE WHEN category = 'navigation_link' AND href <> min_by(href, seq) FILTER (href IS NOT NULL AND category = 'navigation_link') OVER (PARTITION BY page_id, k0) THEN k0 || '::href::' || lower(href) ELSE k0 END AS key FROM b),
+u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY page_id, key ORDER BY (href IS NOT NULL) DESC, (label <> '') DESC, score DESC, seq) = 1)
+SELECT page_id, seq, category, score, CASE WHEN danger OR regexp_matches(lower(label), 'delete|borrar') OR category = 'mutative_action' THEN 'deny' ELSE 'allow' END AS decision FROM u
+"""
+
+
+@query(_CAND)
 def event_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Links of pages as candidates: category, score and decision, the best of each target."""
-    rows = load(spark, sf, "pages").select("page_id", F.posexplode(html.links(F.col("html"))).alias("seq", "link")).select("page_id", "seq", "link.*")
+    """Links of pages as candidates: category, score and decision, the best of each key."""
     none = F.lit(None).cast("string")
-    rows = rows.select("page_id", "seq", "href", "label", policy.category(F.col("label"), F.lit("a"), none, F.col("href"), none).alias("category"), policy.score(F.col("label"), F.lit("a"), none, none, F.col("href"), ("delete", "borrar")).alias("score"))
-    best = policy.best_candidates(rows, "page_id", "href", [F.desc("score"), F.length("label")], "seq")
-    return best.withColumn("decision", policy.decide(F.col("category"), F.col("label"), ("delete", "borrar"), F.lit(False), F.lit(""), F.lit(False))["decision"])
+    rows = load(spark, sf, "pages").select(F.col("page_id").alias("screen"), F.posexplode(html.links(F.col("html"))).alias("seq", "link")).select("screen", F.col("seq").cast("long").alias("seq"), F.lit("links").alias("source"), F.col("link.label").alias("text"), F.col("link.href").alias("href"))
+    rows = rows.withColumn("selector", F.format_string("a:nth-of-type(%d)", "seq")).withColumns({c: none for c in ("aria_label", "title", "placeholder", "name", "id", "tag", "role", "aria_expanded", "type", "onclick", "region")})
+    rows = rows.withColumns({"within_table": F.lit(False), "disabled": F.lit(False)})
+    best = candidates.deduplicated(candidates.classified(rows, ("delete", "borrar")))
+    return best.select(F.col("screen").alias("page_id"), "seq", "category", "score", "decision")
 
 
 @query("""
-SELECT doc_id, len(list_filter(['error', 'the', 'thin'], lambda p: contains(trim(regexp_replace(lower(text), '[^a-z0-9/]+', ' ', 'g')), p))) >= 2 AS unavailable FROM documents
+SELECT doc_id, len(list_filter(['esta', 'the.', 'ung,', 'que '], lambda p: contains(trim(regexp_replace(replace(lower(strip_accents(coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN text END), ''), text, ''))), 'ß', 'ss'), '\\s+', ' ', 'g')), p))) >= 2 AS unavailable FROM documents
 """)
 def screen_availability(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", policy.unavailable(F.col("text"), ("error", "the", "thin"), 2).alias("unavailable"))
+    """Every second document has a main text of its own; signs have accents and punctuation."""
+    docs = load(spark, sf, "documents")
+    return docs.select("doc_id", policy.unavailable(F.when(F.col("doc_id") % 2 == 0, F.col("text")), F.col("text"), ("está", "THE.", "ung,", "que "), 2).alias("unavailable"))
 
 
 @query("""

@@ -172,7 +172,14 @@ def claim_validation(spark: SparkSession, sf: str) -> DataFrame:
     return claims.select("conv_id", "turn", evidence.claim_error(F.col("text"), refs, F.array(F.lit("field:a")), F.array(F.lit("view"))).alias("error"))
 
 
-@query()
+_ACTIONS = ", ".join(f"CASE WHEN list_has_any(w, [{', '.join(repr(t) for t in ts)}]) THEN '{a}' END" for a, ts in evidence.ACTIONS.items())
+
+
+@query(f"""
+WITH r AS (SELECT conv_id AS screen_id, role || ':' || turn AS ref, CASE WHEN role = 'user' THEN 'control' ELSE 'field' END AS kind, string_split(trim(regexp_replace(regexp_replace(lower(text || CASE WHEN turn % 2 = 0 THEN ' buscar' ELSE ' guardar' END), '[^a-z0-9/]+', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS w FROM conversations),
+a AS (SELECT screen_id, ref, kind, unnest(list_filter([{_ACTIONS}], lambda x: x IS NOT NULL)) AS action FROM r)
+SELECT screen_id, action, CASE WHEN bool_or(kind = 'control') THEN 'direct' ELSE 'prudent_only' END AS support, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM a GROUP BY ALL
+""")
 def grounding_plan(spark: SparkSession, sf: str) -> DataFrame:
     refs = load(spark, sf, "conversations").select(F.col("conv_id").alias("screen_id"), F.concat_ws(":", "role", "turn").alias("ref"), F.when(F.col("role") == "user", "control").otherwise("field").alias("kind"), F.concat(F.col("text"), F.when(F.col("turn") % 2 == 0, " buscar").otherwise(" guardar")).alias("label"))
     return evidence.grounding_plan(refs).withColumn("refs", F.array_join("refs", ","))
@@ -188,13 +195,25 @@ def main_text_lines(spark: SparkSession, sf: str) -> DataFrame:
     return docs.where((F.size("k") == 0) | (F.col("first_line") == F.col("k")[0])).select("doc_id", "first_line")
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, unnest(k) AS line, unnest(range(1, len(k) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x <> '') AS k FROM documents)),
+c AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS upto FROM l), t AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS main_text FROM c WHERE upto <= 8000 GROUP BY 1)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(main_text, '') END AS main_text FROM documents LEFT JOIN t USING (doc_id)
+""")
 def main_text(spark: SparkSession, sf: str) -> DataFrame:
     """The lines of every document that fit in its main text."""
     return load(spark, sf, "documents").select("doc_id", evidence.whole_lines(F.col("text")).alias("main_text"))
 
 
-@query()
+@query(f"""
+WITH {_EDGES}, q AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 0),
+h AS (SELECT 'customer:' || vec_id AS id, least(1, greatest(-1, list_cosine_similarity(x.embedding::DOUBLE[], q.e))) AS score FROM embeddings x, q ORDER BY list_cosine_similarity(x.embedding::DOUBLE[], q.e) DESC, vec_id LIMIT 8),
+s AS (SELECT source AS a, target AS b, source || '|' || type || '|' || target AS k FROM e WHERE type <> 'HAS_STATE' UNION ALL SELECT target, source, source || '|' || type || '|' || target FROM e WHERE type <> 'HAS_STATE'),
+p1 AS (SELECT a AS seed, b AS id, k FROM s WHERE a IN (SELECT id FROM h)), p2 AS (SELECT p1.seed, s.b AS id FROM p1 JOIN s ON p1.id = s.a AND p1.k <> s.k),
+o AS (SELECT id, 'semantic' AS origin, score FROM h UNION ALL SELECT id, 'graph', NULL FROM p1 WHERE id <> seed UNION ALL SELECT id, 'graph', NULL FROM p2 WHERE id <> seed),
+g AS (SELECT 'customer:' || c_custkey AS id FROM customer WHERE c_acctbal > 0 UNION ALL SELECT 'nation:' || n_nationkey FROM nation)
+SELECT id, CASE WHEN count(DISTINCT origin) > 1 THEN 'both' ELSE min(origin) END AS origin, round(max(score), 6) AS score FROM o WHERE id IN (SELECT id FROM g) GROUP BY id ORDER BY score DESC NULLS LAST, id LIMIT 20
+""")
 def hybrid_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     """Vector seeds, their neighbourhood in the graph, approved nodes only, and where each came from.
 
@@ -210,14 +229,6 @@ def hybrid_retrieval(spark: SparkSession, sf: str) -> DataFrame:
     return kinds.select("id", F.when(F.col("k") > 1, "both").otherwise(F.col("o")).alias("origin"), "score").orderBy(F.desc_nulls_last("score"), "id").limit(20)
 
 
-@query()
-def answer_plans(spark: SparkSession, sf: str) -> DataFrame:
-    """Questions of each customer answered from its relations."""
-    questions = load(spark, sf, "customer").select(F.col("c_custkey").alias("question_id"), F.when(F.col("c_custkey") % 3 == 0, "LIST_FIELDS").when(F.col("c_custkey") % 3 == 1, "FIND_CONTROL").alias("intent"))
-    rel = load(spark, sf, "orders").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("seq"), F.when(F.col("o_orderstatus") == "O", "HAS_FIELD").otherwise("HAS_CONTROL").alias("type"), F.concat(F.lit("customer:"), "o_custkey").alias("source"), F.concat(F.lit("order:"), "o_orderkey").alias("target"), F.col("o_orderpriority").alias("target_label"))
-    return answers.plans(questions, rel).withColumn("evidence", F.array_join("evidence", ","))
-
-
 @query(f"""
 WITH {_EDGES}, d AS (SELECT id, count(*) AS n FROM (SELECT source AS id FROM e UNION ALL SELECT target FROM e) GROUP BY id) SELECT id AS focal FROM d ORDER BY n DESC, id LIMIT 1
 """)
@@ -260,7 +271,10 @@ def canonical_issues(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.issues(_canonical(spark, sf))
 
 
-@query()
+@query("""
+SELECT 'v2' AS version, p_partkey::VARCHAR AS canonical_id, CASE WHEN p_partkey % 6 <> 0 AND p_partkey % 2 = 0 THEN 'approved' ELSE 'pending' END AS status, CASE WHEN p_partkey % 6 <> 0 AND p_partkey % 2 = 0 THEN 'approve' END AS action FROM part
+UNION ALL SELECT 'v1', p_partkey::VARCHAR, CASE WHEN p_partkey % 2 = 0 THEN 'approved' ELSE 'pending' END, NULL FROM part
+""")
 def version_import(spark: SparkSession, sf: str) -> DataFrame:
     """A second version of the parts after one whose every third row differs: reviews of unchanged rows carry over."""
     part = load(spark, sf, "part").select(F.lit("part").alias("entity_type"), F.col("p_partkey").cast("string").alias("canonical_id"), F.sha2("p_name", 256).alias("content_hash"), F.col("p_partkey").alias("k"))

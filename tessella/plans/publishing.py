@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.operators import documents, projection
@@ -10,7 +10,12 @@ from tessella.plans.base import ENTITIES, entities
 from tessella.plans.registry import query
 from tessella.session import load
 
-SCOPE = F.lit("erp:1"), F.lit("v1")
+
+
+def scope() -> tuple[Column, Column]:
+    return F.lit("erp:1"), F.lit("v1")
+
+
 _GOOD = "status IN ('approved', 'corrected')"
 _SAFE = "CASE WHEN contains({0}, '@') OR trim({0}) = '' THEN NULL ELSE trim(regexp_replace({0}, '\\s+', ' ', 'g')) END"
 _PROPS = "concat_ws('|', " + ", ".join(
@@ -23,7 +28,7 @@ SELECT canonical_id, sha256('erp:1' || chr(0) || 'v1' || chr(0) || canonical_id)
 """)
 def projection_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Every entity as a node, with its whitelisted properties and what forbids it."""
-    made = projection.nodes(entities(spark, sf), SCOPE)
+    made = projection.nodes(entities(spark, sf), scope())
     said = F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
     return made.select("canonical_id", "node_key", said.alias("properties"), "error")
 
@@ -35,7 +40,7 @@ _EDGES = f"ok AS (SELECT * FROM ent WHERE {_GOOD} AND NOT contains(coalesce(titl
 
 
 def projected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    kept = projection.nodes(entities(spark, sf), SCOPE).where("error is null")
+    kept = projection.nodes(entities(spark, sf), scope()).where("error is null")
     return kept, projection.split_edges(projection.candidate_edges(kept), kept)
 
 
@@ -49,7 +54,7 @@ WITH {ENTITIES}, {_EDGES}, k AS (SELECT sha256('erp:1' || chr(0) || 'v1' || chr(
 SELECT DISTINCT type, s AS source_key, t AS target_key, sha256(s || chr(0) || type || chr(0) || t) AS relationship_key FROM k
 """)
 def projection_relationships(spark: SparkSession, sf: str) -> DataFrame:
-    return projection.keyed_edges(projected(spark, sf)[1].where("skipped is null"), SCOPE)
+    return projection.keyed_edges(projected(spark, sf)[1].where("skipped is null"), scope())
 
 
 @query(f"""
@@ -58,7 +63,7 @@ WITH {ENTITIES}, {_EDGES} SELECT (SELECT count(*) FROM ok) AS nodes, (SELECT cou
 def projection_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of the plan, and that its digest doesn't depend on the order of rows or partitions."""
     kept, edges = projected(spark, sf)
-    keys = projection.keyed_edges(edges.where("skipped is null"), SCOPE)
+    keys = projection.keyed_edges(edges.where("skipped is null"), scope())
     one = projection.digest_of(keys, "relationship_key")
     again = projection.digest_of(keys.repartition(3).orderBy(F.desc("relationship_key")), "relationship_key").select(F.col("digest").alias("other"))
     count = kept.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count_if(F.col("skipped").isNotNull()).alias("skipped")))  # one row each
@@ -70,7 +75,7 @@ WITH {ENTITIES}, {_EDGES} SELECT reason, sum(n)::BIGINT AS n FROM (SELECT skippe
 UNION ALL SELECT CASE WHEN NOT {_GOOD} THEN 'status_not_eligible' WHEN contains({_PROPS}, '@') THEN 'sensitive_property' END, count(*) FROM ent GROUP BY 1) WHERE reason IS NOT NULL GROUP BY reason
 """)
 def projection_skips(spark: SparkSession, sf: str) -> DataFrame:
-    return projection.skip_reasons((projected(spark, sf)[1], "skipped"), (projection.nodes(entities(spark, sf), SCOPE), "error"))
+    return projection.skip_reasons((projected(spark, sf)[1], "skipped"), (projection.nodes(entities(spark, sf), scope()), "error"))
 
 
 @query(f"WITH {ENTITIES}, {_EDGES} SELECT entity_type, count(*) AS n FROM ok GROUP BY entity_type")
