@@ -42,11 +42,14 @@ def tokenizer_json(ranks: dict[bytes, int]) -> str:
     return json.dumps({"version": "1.0", "truncation": None, "padding": None, "added_tokens": [], "normalizer": None, "pre_tokenizer": level, "post_processor": None, "decoder": level, "model": model})
 
 
-def id_bytes(ranks: dict[bytes, int]) -> list[bytes]:
-    """Each id's bytes: the byte table reversed. Ids that no token has decode to nothing."""
-    table = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, i in ranks.items():
-        table[i] = token
+def id_bytes(model: str) -> list[bytes]:
+    """Each id's bytes: the byte table, reversed, over the characters of the model's tokens. Ids that no token has decode
+    to nothing. A token may end inside a character: bytes are joined before they are read."""
+    vocabulary = json.loads(model)["model"]["vocab"]
+    back = {ord(c): chr(b) for b, c in enumerate(byte_chars())}
+    table = [b""] * (max(vocabulary.values(), default=-1) + 1)
+    for token, i in vocabulary.items():
+        table[i] = token.translate(back).encode("latin-1")
     return table
 
 
@@ -128,7 +131,7 @@ def decode_ids(table: list[bytes], ids: list[int]) -> bytes:
 
 def decode(tokens: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """tokens with `decoded`, the bytes of its ids. No ids or null give no bytes."""
-    table = tokens.sparkSession.sparkContext.broadcast(id_bytes(read_ranks(path)))
+    table = tokens.sparkSession.sparkContext.broadcast(id_bytes(tokenizer_json(read_ranks(path))))
     kept = [c for c in tokens.columns if c != bytes_col]
     schema = T.StructType([*(tokens.schema[c] for c in kept), T.StructField(bytes_col, T.BinaryType())])
 
@@ -145,8 +148,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
 
     Encodes and decodes in one pass, with encode's and decode's parts, so that only digests leave a task.
     """
-    ranks = read_ranks(path)
-    sent = docs.sparkSession.sparkContext.broadcast((tokenizer_json(ranks), id_bytes(ranks)))
+    made = tokenizer_json(read_ranks(path))
+    sent = docs.sparkSession.sparkContext.broadcast((made, id_bytes(made)))
     added = [T.StructField("ids", T.ArrayType(T.IntegerType(), False))] * ids + [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     schema = T.StructType([*(docs.schema[c] for c in keep), *added])
 
