@@ -266,7 +266,7 @@ def event_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, len(list_filter(['esta', 'the.', 'ung,', 'que '], lambda p: contains(trim(regexp_replace(replace(lower(strip_accents(coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN text END), ''), text, ''))), 'ß', 'ss'), '\\s+', ' ', 'g')), p))) >= 2 AS unavailable FROM documents
+SELECT doc_id, len(list_filter(['esta', 'the.', 'ung,', 'que'], lambda p: contains(trim(regexp_replace(replace(lower(strip_accents(coalesce(nullif(trim(CASE WHEN doc_id % 2 = 0 THEN text END), ''), text, ''))), 'ß', 'ss'), '\\s+', ' ', 'g')), p))) >= 2 AS unavailable FROM documents
 """)
 def screen_availability(spark: SparkSession, sf: str) -> DataFrame:
     """Every second document has a main text of its own; signs have accents and punctuation."""
