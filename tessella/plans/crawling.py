@@ -269,3 +269,42 @@ def proposal_list(spark: SparkSession, sf: str) -> DataFrame:
 
     rows = load(spark, sf, "orders").where("o_orderstatus = 'O' and o_custkey % 3 = 0")
     return ranking.page(rows, [F.desc("o_orderdate"), F.desc("o_orderkey")], 0, 5000).select("o_orderkey", "o_custkey", "o_orderdate")
+
+
+@query("""
+SELECT n_name AS label, array_to_string([lower(n_name), substr(n_name, 1, 3)], ',') AS aliases FROM nation WHERE n_nationkey = (SELECT min(n_nationkey) FROM nation WHERE ends_with('xx-' || (SELECT lower(n_name) FROM nation WHERE n_nationkey = 7), lower(n_name)))
+""")
+def profile_aliases(spark: SparkSession, sf: str) -> DataFrame:
+    """Aliases of the profile whose code the system's id ends in."""
+    from tessella.sources.documents import aliases_for
+
+    nation = load(spark, sf, "nation")
+    code = nation.where("n_nationkey = 7").select(F.lower("n_name")).first()[0]
+    profiles = nation.select(F.format_string("%03d.yaml", "n_nationkey").alias("file"), F.concat(F.lit("erp"), "n_nationkey").alias("id"), F.col("n_name").alias("code"), F.lit("x").alias("name"), F.create_map(F.col("n_name"), F.array(F.lower("n_name"), F.substring("n_name", 1, 3))).alias("aliases"))
+    return aliases_for(profiles, f"xx-{code}").select("label", F.array_join("aliases", ",").alias("aliases"))
+
+
+@query("""
+SELECT c_custkey, n_name, n_regionkey FROM customer LEFT JOIN nation ON n_nationkey = c_custkey % 30
+""")
+def entity_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities by id; some ids are unknown."""
+    from tessella.sources.documents import looked_up
+
+    nation = load(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), "n_name", "n_regionkey")
+    return looked_up(nation, load(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 30).cast("long").alias("id")), "id").select("c_custkey", "n_name", "n_regionkey")
+
+
+@query("""
+WITH o AS (SELECT n_regionkey AS source, n_nationkey AS target FROM nation WHERE n_nationkey < 10), n AS (SELECT n_regionkey AS source, n_nationkey + (n_nationkey % 2) * 100 AS target FROM nation)
+SELECT 'r' || source AS source, 'HAS' AS type, 'n' || target AS target FROM o UNION SELECT 'r' || source, 'HAS', 'n' || target FROM n WHERE target < 100
+""")
+def relationship_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    """Edges after an upsert: those without both ends are asked for and not written."""
+    from tessella.sources.documents import merged_edges
+
+    nation = load(spark, sf, "nation")
+    k = F.col("n_nationkey")
+    edge = lambda target: [F.concat(F.lit("r"), "n_regionkey").alias("source"), F.lit("HAS").alias("type"), F.concat(F.lit("n"), target).alias("target")]
+    nodes = nation.select(F.concat(F.lit("n"), k).alias("id")).union(nation.select(F.concat(F.lit("r"), "n_regionkey")).distinct())
+    return merged_edges(nation.where("n_nationkey < 10").select(*edge(k)), nation.select(*edge(k + (k % 2) * 100)), nodes)[0]

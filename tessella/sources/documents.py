@@ -23,7 +23,7 @@ def screen_index(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]
     empty = spark.createDataFrame([], SCREEN)
     try:
         rows = spark.read.schema(T.StructType([T.StructField("screens", T.ArrayType(SCREEN)), T.StructField("_corrupt_record", T.StringType())])).option("multiLine", True).json(path)
-        rows = rows.select("screens", "_corrupt_record").cache()
+        rows = rows.select("screens", "_corrupt_record").cache()  # a corrupt record is seen only in what is kept; documents are small
         if rows.where("_corrupt_record is not null or screens is null").limit(1).count():
             return empty, "invalid_document"
         screens = rows.select(F.inline("screens"))
@@ -94,3 +94,23 @@ def merged_edges(old: DataFrame, new: DataFrame, nodes: DataFrame) -> tuple[Data
 
     key = ["source", "type", "target"]
     return old.select(*key).union(projected_edges(new, nodes).select(*key)).distinct(), new.count()
+
+
+def opened(entities: DataFrame, issues: DataFrame) -> DataFrame:
+    """entities, if none of the issues is an error: a knowledge base is checked when it is opened."""
+    if not issues.where("severity = 'error'").isEmpty():
+        raise ValueError("not opened: the knowledge base has errors")
+    return entities
+
+
+def looked_up(entities: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
+    """asked with the entity that has its keys, by id or by system and route: joins on equality take the place of indices."""
+    return asked.join(entities.dropDuplicates(list(keys)), list(keys), "left")
+
+
+def aliases_for(profiles: DataFrame, erp: str | None = None) -> DataFrame:
+    """(label, aliases) of the profile that is of the system: by its id, code or name, or because the system's id ends in its
+    code. The first file of those that fit; without a system the last one. profiles (file, id, code, name, aliases map)."""
+    fits = F.lit(True) if erp is None else (F.lit(erp).isin(F.col("id"), F.col("code"), F.col("name")) | F.lit(erp.lower()).endswith(F.lower(F.coalesce("code", F.lit("")))))
+    best = profiles.where(fits).orderBy(F.col("file").desc() if erp is None else F.col("file")).limit(1)
+    return best.select(F.explode("aliases").alias("label", "aliases"))
