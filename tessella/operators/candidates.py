@@ -280,7 +280,7 @@ def in_scope(rows: DataFrame, path: str, home: str, home_categories: tuple[str,
 
 
 def segments(selector: Column) -> Column:
-    return F.filter(F.transform(F.split(F.lower(_filled(selector)), ">"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.lower(_filled(selector)), ">"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_descendant(selector: Column, ancestor: Column) -> Column:

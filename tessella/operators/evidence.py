@@ -135,7 +135,7 @@ def whole_lines(value: Column, limit: int = MAIN_TEXT) -> Column:
 
 def resolved_references(asked: Column, eligible: Column) -> Column:
     """struct(known, unknown), each sorted and distinct."""
-    ids = F.array_sort(F.array_distinct(F.transform(asked, F.trim)))
+    ids = F.array_sort(F.array_distinct(F.transform(asked, lambda x: F.trim(x))))
     return F.struct(F.array_intersect(ids, eligible).alias("known"), F.array_except(ids, eligible).alias("unknown"))
 
 
