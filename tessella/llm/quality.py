@@ -154,8 +154,10 @@ def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            s = density_score(sent.value, np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(NAMES)))
-            yield batch.filter(pa.array(s >= 0.5))
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):  # what is copied at a time stays small
+                batch = whole.slice(begin, 512)
+                s = density_score(sent.value, np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(NAMES)))
+                yield batch.filter(pa.array(s >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
