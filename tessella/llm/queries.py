@@ -8,8 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, language, minhash, mixing, passages, quality, sharding, suffixes, topk, vectors
-from tessella.llm.common import shared_dir, table
+from tessella.llm import (
+    bpe, interaction, language, minhash, mixing, passages, quality, sharding, suffixes, topk, vectors, warc, whitening,
+)
+from tessella.llm.common import shared_dir, stored, table
 
 SHARDS = 40
 
@@ -62,8 +64,33 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), length=2)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Archives are written to the shared folder and read back; a wrong digest, length or reference fails the query."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    manifest = warc.write(warc.marked(table(spark, sf_dir, "pages")), folder)
+    found = warc.resolved(stored(warc.read(manifest), "warc-records"))
+    number = lambda c: F.substring(c, len(warc.PREFIX) + 1, 32).try_cast("long")
+    sound = F.when(F.col("problem").isNull(), F.col("record_type")).otherwise(F.raise_error(F.concat_ws(" ", "record_id", "problem")))
+    return found.select(
+        number(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", sound.alias("record_type"),
+        number(F.col("refers_to")).alias("refers_to"),
+    )
+
+
+def op12_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffixes, op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op8_passages, op9_sharding, op10_minhash)
+    f.__name__: f
+    for f in (
+        op1_suffixes, op2_mixing, op3_topk, op4_language, op5_vectors, op6_quality, op7_bpe, op8_passages, op9_sharding,
+        op10_minhash, op11_warc, op12_interaction, op13_whitening,
+    )
 }
 
 _MIXING = """
@@ -168,4 +195,49 @@ SELECT e.vec_id, (SELECT count(*) FROM p WHERE p.a = e.vec_id)::BIGINT AS n_link
 FROM embeddings e JOIN g USING (vec_id)
 """
 
-ORACLES: dict[str, str] = {"op1_suffixes": _SUFFIXES, "op2_mixing": _MIXING, "op3_topk": _TOPK, "op5_vectors": _VECTORS, "op10_minhash": _MINHASH}
+_WARC = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS n, sha256(coalesce(html, '')) AS digest FROM pages
+), f AS (
+  SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest
+)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to
+FROM p LEFT JOIN f USING (digest)
+"""
+
+_INTERACTION = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t
+), x AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > first_id, false) AS e FROM w
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM x LEFT JOIN l USING (doc_id) GROUP BY ALL
+), k(f, bit) AS (
+  VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), o AS (
+  SELECT p.f || q.f || r.f || s.f || u.f AS filter_order, [p.bit, q.bit, r.bit, s.bit, u.bit] AS bits
+  FROM k p, k q, k r, k s, k u WHERE p.bit | q.bit | r.bit | s.bit | u.bit = 31
+), z AS (
+  SELECT filter_order, step, bits[step] AS own, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM o, (SELECT unnest(range(1, 6))::INT AS step)
+), r AS (
+  SELECT part, filter_order, step, own,
+    sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & own > 0 AND mask & before > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & own > 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM m, z GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r
+"""
+
+ORACLES: dict[str, str] = {"op11_warc": _WARC, "op12_interaction": _INTERACTION, "op1_suffixes": _SUFFIXES, "op2_mixing": _MIXING, "op3_topk": _TOPK, "op5_vectors": _VECTORS, "op10_minhash": _MINHASH}
