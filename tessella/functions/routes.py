@@ -17,6 +17,12 @@ def route_key(route: Column) -> Column:
     return F.concat(F.lit("/"), F.regexp_replace(path, "^/+|/+$", ""))
 
 
+def path_of(url: Column) -> Column:
+    """Path and query of an address, with or without a host; the root where there is no path."""
+    rest = F.regexp_replace(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), "#.*$", "")
+    return F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+
+
 def stored_route(route: Column) -> Column:
     """Without query, fragment and slash at the end; the start stays."""
     path = F.regexp_replace(F.trim(F.coalesce(route, F.lit(""))), r"[?#].*$", "")
