@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import routes, text
+from tessella.functions import hashing, routes, text
+from tessella.sources.shared import dropped, written_once
 
 # Menu texts that are no menu entries, and the starts of texts of whole menus.
 IGNORED_MENUS = ("menu de navegación", "menu de navegacion")
@@ -78,17 +79,18 @@ def discovered_modules(entries: DataFrame, home: str) -> DataFrame:
 
 
 def fixed_point(start: DataFrame, step, done, most_rounds: int = 100) -> tuple[DataFrame, int]:
-    """Applies step to a table until done(old, new) says that nothing is new, or most_rounds; each round is written out, so a
-    lost executor repeats one round and plans stay short. Returns the last table and the rounds that were needed."""
-    from tessella.sources.shared import written_once
-
+    """Applies step to a table until done(old, new) says that nothing is new; each round is written out, so a lost executor
+    repeats one round and plans stay short, and the round before it is deleted. Returns the last table and the rounds that
+    were needed; a table that has not settled after most_rounds is an error."""
     now = start
     for n in range(1, most_rounds + 1):
         new = written_once(step(now), "round")
         if done(now, new):
             return new, n
+        if n > 1:
+            dropped(now)
         now = new
-    return now, most_rounds
+    raise RuntimeError(f"not settled after {most_rounds} rounds")
 
 
 def summary(pages: DataFrame, edges: DataFrame, failures: DataFrame) -> DataFrame:
