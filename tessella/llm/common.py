@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import weakref
@@ -55,6 +56,22 @@ def discard(*tables: DataFrame | None) -> None:
             folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Bytes of the rows that are sent to a Python worker at once. A batch is held several times: in the JVM's vectors, which
+#: double as they grow, on its way, and in the worker.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession, most: int = BATCH) -> None:
+    """Lowers the session's bound of a batch's bytes to `most`, so that texts of any length cross to Python in bounded memory.
+    A single longer text is a batch of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    number, unit = re.fullmatch(r"(-?\d+)([a-z]*)", now.lower()).groups()
+    size = int(number) << {"": 0, "b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}[unit]
+    if size < 0 or size > most:
+        spark.conf.set(name, str(most))
+
+
 def word_count(text) -> F.Column:
     """Number of words; null counts as empty. Counts word starts, so no array of words is made."""
     return F.when(text.isNull(), F.lit(0)).otherwise(F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), r"[\x20\x09-\x0D]+", ""))).cast("long")
