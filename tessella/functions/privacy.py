@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -57,7 +58,19 @@ def sanitised(text: Column, limit: int = 4000) -> Column:
 
 
 def _step(pattern: str):
-    return lambda s: F.struct(F.regexp_replace(s["t"], pattern, " ").alias("t"), (s["n"] + F.regexp_count(s["t"], F.lit(pattern))).cast("int").alias("n"))
+    """Hits are counted only where replacing them changed something, so texts without them are read once a pattern."""
+
+    def one(s: Column) -> Column:
+        new = F.transform(F.array(F.regexp_replace(s["t"], pattern, " ")), lambda t: F.struct(
+            t.alias("t"), (s["n"] + F.when(t == s["t"], 0).otherwise(F.regexp_count(s["t"], F.lit(pattern)))).cast("int").alias("n")))
+        return F.get(new, F.lit(0))
+
+    return one
+
+
+def compiled() -> list[re.Pattern]:
+    """PATTERNS for Python code inside of tasks."""
+    return [re.compile(re.sub(r"^\(\?(i?)U\)", lambda m: "(?i)" if m[1] else "", p)) for p in PATTERNS]
 
 
 def is_sensitive(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions import text
+from tessella.functions import privacy, text
 from tessella.operators.evidence import ACTIONS
 
 # The order of actions in a summary and their verbs; keys that payloads never hold.
@@ -84,7 +84,8 @@ def functional(payload: Column) -> Column:
 
 
 def payload_error(payload: Column, most_bytes: int = 256_000) -> Column:
-    """The first thing wrong with a correction: no object, too large, a forbidden key at any depth, markup that runs."""
+    """The first thing wrong with a correction: no object, too large, or, key by key at any depth, a forbidden key, a string
+    that holds something sensitive, markup that runs. Strings that stand in lists have no key and are not looked at."""
     return _payload_error(payload, F.lit(most_bytes))
 
 
@@ -110,6 +111,8 @@ def _functional(payloads: pd.Series) -> pd.Series:
 def _payload_error(payloads: pd.Series, most: pd.Series) -> pd.Series:
     import json
 
+    sensitive = privacy.compiled()
+
     def walk(v) -> Iterator[tuple[str, object]]:
         for k, x in v.items() if isinstance(v, dict) else ((None, x) for x in v) if isinstance(v, list) else ():
             if k is not None:
@@ -130,6 +133,8 @@ def _payload_error(payloads: pd.Series, most: pd.Series) -> pd.Series:
                 return f"operational_key:{k}"
             if k in FORBIDDEN_KEYS:
                 return f"sensitive_key:{k}"
+            if isinstance(x, str) and any(p.search(x) for p in sensitive):
+                return "sensitive_value"
             if isinstance(x, str) and ("<script" in x.casefold() or "javascript:" in x.casefold()):
                 return "executable_markup"
         return None

@@ -20,6 +20,8 @@ ACTIONS = {
     "delete": ("eliminar", "eliminacion", "borrar"), "process": ("procesar", "procesamiento"),
 }
 MUTATIVE = ("create", "edit", "delete", "process")
+# What a text says that tries to give instructions.
+INJECTIONS = ("ignore previous instructions", "ignora las instrucciones", "system prompt", "act as system", "cambia tu rol")
 NEGATIVE = ("no se puede", "no puede", "no permite", "es imposible", "carece de")
 EPISTEMIC = ("la evidencia disponible no permite confirmar", "la evidencia no permite confirmar", "la estructura observada no demuestra", "la estructura no demuestra", "no se identificaron controles", "no hay evidencia estructural")
 
@@ -166,6 +168,15 @@ def claim_error(statement: Column, refs: Column, allowed: Column, planned: Colum
     )
 
 
+def statement_error(statement: Column, longest: int = 500) -> Column:
+    """Why a generated text is refused, or null: it is empty, too long, holds something sensitive, or gives instructions."""
+    normal = text.squeeze(F.coalesce(statement, F.lit("")))
+    injected = F.exists(F.array(*map(F.lit, INJECTIONS)), lambda p: F.contains(F.lower(normal), p))
+    return (
+        F.when(normal == "", "inference_empty").when(F.length(normal) > longest, "inference_length")
+        .when(privacy.is_sensitive(normal), "inference_privacy").when(injected, "inference_prompt_injection")
+    )
+
+
 def is_safe_statement(statement: Column, longest: int = 500) -> Column:
-    injected = F.lower(statement).rlike(r"ignore (all )?(previous|prior) instructions|ignora (las )?instrucciones|system prompt|<script")
-    return (F.length(statement) <= longest) & ~privacy.is_sensitive(statement) & ~injected
+    return statement_error(statement, longest).isNull()

@@ -1,14 +1,11 @@
-"""Screen records from static HTML: titles, headings, links, buttons, inputs, tables, by patterns on the markup.
-
-What needs a browser (computed visibility, listeners) is not here.
-"""
+"""Titles, headings and links of static HTML, by patterns on the markup. operators.dom reads whole pages."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions import hashing, privacy, routes, text
+from tessella.functions import routes, text
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>"
 _LINK = r'(?is)<a\b[^>]*?\bhref="([^"]*)"[^>]*>(.*?)</a>'
@@ -49,24 +46,6 @@ def screens(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
     )
 
 
-def resolved_title(heading: Column, document: Column, route: Column, generic: tuple[str, ...] = ("home", "inicio", "menu")) -> Column:
-    """The best of the candidates: a heading scores 100, the document title 80, what the route says 40; generic words lose
-    60; equal scores go to the shorter."""
-    scored = lambda value, score: F.struct((F.lit(score) - F.when(F.lower(value).isin(*generic), 60).otherwise(0)).alias("score"), (-F.length(value)).alias("short"), value.alias("value"))
-    every = F.filter(F.array(scored(heading, 100), scored(document, 80), scored(routes.title_from(route), 40)), lambda c: c["value"].isNotNull() & (c["value"] != ""))
-    return F.array_max(every)["value"]
-
-
-def fingerprints(html: Column, url: Column) -> Column:
-    """struct(exact, structural). Both are digests of sorted distinct links and headings; the structural one masks what
-    changes, numbers of ids and values of queries, so it stays where only data moved."""
-    pairs = F.transform(links(html), lambda x: F.concat_ws("|", text.signature_key(x["label"]), x["href"]))
-    soft = F.transform(links(html), lambda x: F.concat_ws("|", privacy.without_volatile(text.signature_key(x["label"])), routes.route_key(x["href"]), F.coalesce(routes.masked_query(x["href"]), F.lit(""))))
-    heads = F.transform(headings(html), text.signature_key)
-    digest = lambda ls, hs: hashing.content_hash(headings=F.array_sort(F.array_distinct(hs)), links=F.array_sort(F.array_distinct(ls)))
-    return F.struct(digest(pairs, heads).alias("exact"), digest(soft, F.transform(heads, privacy.without_volatile)).alias("structural"))
-
-
 def structure(screen: DataFrame) -> DataFrame:
     """Links of each screen, the first of each (label, target), local ones before global ones."""
     every = screen.select("page_id", F.posexplode("links").alias("pos", "link")).select("page_id", "pos", "link.href", "link.label")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions import text
+from tessella.functions import privacy, text
 
 # States of a screen's proposals.
 STATES = ("no_proposal", "pending_review", "approved", "corrected", "rejected", "mixed", "unavailable")
@@ -136,10 +136,18 @@ def differing(left: Column, right: Column, fields: list[str]) -> Column:
     return F.array_compact(F.array(*[F.when(~left[f].eqNullSafe(right[f]), F.lit(f)) for f in fields]))
 
 
-def action_error(action: Column, actor: Column, source: Column, notes: Column, sources: tuple[str, ...] = ("cli", "admin_api", "review_panel", "migration")) -> Column:
-    """What is missing in a review action, the first thing: a known action, an actor, a known source, notes where needed."""
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+# Where review actions may come from.
+SOURCES = ("cli", "admin_api", "review_panel", "migration")
+
+
+def action_error(action: Column, actor: Column, source: Column, notes: Column, sources: tuple[str, ...] = SOURCES) -> Column:
+    """What is wrong with a review action, the first thing: an unknown action, no actor, one that is sensitive or too long, an
+    unknown source, sensitive notes, too long ones, none where they are needed."""
+    said = text.squeeze(F.coalesce(actor, F.lit("")))
+    noted = text.squeeze(F.coalesce(notes, F.lit("")))
     return (
-        F.when(~F.coalesce(action.isin("approve", "reject", "correct", "reset"), F.lit(False)), "unknown_action").when(blank(actor) | (F.length(actor) > 240), "invalid_actor")
-        .when(~F.coalesce(source.isin(*sources), F.lit(False)), "invalid_source").when(action.isin("reject", "correct", "reset") & blank(notes), "notes_required").when(F.length(notes) > 4000, "notes_too_long")
+        F.when(~F.coalesce(action.isin("approve", "reject", "correct", "reset"), F.lit(False)), "unknown_action")
+        .when(said == "", "invalid_actor").when(privacy.is_sensitive(said), "sensitive_actor").when(F.length(said) > 240, "invalid_actor")
+        .when(~F.coalesce(F.trim(source).isin(*sources), F.lit(False)), "invalid_source").when(privacy.is_sensitive(noted), "sensitive_notes")
+        .when(F.length(noted) > 4000, "notes_too_long").when(action.isin("reject", "correct", "reset") & (noted == ""), "notes_required")
     )

@@ -37,20 +37,6 @@ def distinct_links(spark: SparkSession, sf: str) -> DataFrame:
     return html.structure(html.screens(load(spark, sf, "pages"))).select("page_id", "label", "target")
 
 
-@query()
-def screen_index(spark: SparkSession, sf: str) -> DataFrame:
-    """A record for each route, the last page wins; the title is the best candidate."""
-    s = html.screens(load(spark, sf, "pages"))
-    best = html.resolved_title(F.try_element_at("headings", F.lit(1)), F.col("title"), F.col("route"))
-    last = s.groupBy("route").agg(F.max_by(F.struct("page_id", "title", "headings", "links", "text"), "page_id").alias("s")).select("route", "s.*")
-    return last.select("route", "page_id", best.alias("title"), F.size("links").alias("links"), F.length("text").alias("characters"))
-
-
-@query()
-def structural_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pages").select("page_id", html.fingerprints(F.col("html"), F.col("url")).alias("f")).select("page_id", "f.exact", "f.structural")
-
-
 @query("""
 SELECT page_id, CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) <> '' THEN (SELECT string_agg(k || '=%2A', '&' ORDER BY k) FROM (
   SELECT DISTINCT split_part(p, '=', 1) AS k FROM (SELECT unnest(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&')) AS p) WHERE contains(p, '=') AND NOT starts_with(p, '='))) END AS query FROM pages

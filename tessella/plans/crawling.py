@@ -172,18 +172,28 @@ def page_answers(spark: SparkSession, sf: str) -> DataFrame:
     names = lambda letter, n: F.transform(F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: i < n), lambda i: F.concat(F.lit(letter), i.cast("string")))
     fields, buttons, tables = names("c", k % 3), names("b", k % 2), k % 4
     answer = drafts.page_answer(intent, F.col("p_name"), F.lit("/app/ventasxmayor/lista"), fields, buttons, buttons, tables, F.array().cast("array<string>"))
-    answer = F.regexp_replace(answer, "Ventas por mayor", "Ventas por mayor")
     return load(spark, sf, "part").select(k.alias("k"), answer.alias("answer"), F.array_join(drafts.suggestions(intent, F.col("p_name"), fields, tables), "|").alias("more"))
 
 
-@query("""
-SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'not_an_object' WHEN 1 THEN 'operational_key:updated_at' WHEN 2 THEN 'sensitive_key:token' WHEN 3 THEN 'executable_markup' WHEN 4 THEN 'too_large' END AS error,
-  CASE o_orderkey % 6 WHEN 0 THEN '[1]' WHEN 1 THEN '{"a":[{"b":1}]}' WHEN 2 THEN '{"a":{"Token":"x"}}' WHEN 3 THEN '{"a":{"b":"<Script>"}}' WHEN 4 THEN '{"a":"' || repeat('x', 400) || '"}' ELSE '{"a":' || o_orderkey || ',"z":null}' END AS functional FROM orders
+_RAW = (
+    ("not_an_object", '[1]'), ("operational_key:updated_at", '{"a": [{"Updated_At": 2, "b": 1}]}'), ("sensitive_key:token", '{"a": {"Token": "x"}}'),
+    ("executable_markup", '{"a": {"b": "<Script>"}}'), ("sensitive_value", '{"a": "write to me@example.org"}'), ("sensitive_value", '{"b": [{"a": "at 10.20.30.40"}]}'),
+    ("sensitive_value", '{"a": "el 3 de", "b": "USD $ 1.200,50"}'), ("", '{"a": ["me@example.org"], "b": "Ver"}'),
+)
+
+
+@query(f"""
+WITH p AS (SELECT o_orderkey, o_orderkey % 10 AS i FROM orders)
+SELECT o_orderkey, CASE i {" ".join(f"WHEN {i} THEN nullif('{e}', '')" for i, (e, _) in enumerate(_RAW))} WHEN 8 THEN 'too_large' END AS error,
+  CASE i WHEN 0 THEN '[1]' WHEN 1 THEN '{{"a":[{{"b":1}}]}}' WHEN 2 THEN '{{"a":{{"Token":"x"}}}}' WHEN 3 THEN '{{"a":{{"b":"<Script>"}}}}' WHEN 4 THEN '{{"a":"write to me@example.org"}}'
+    WHEN 5 THEN '{{"b":[{{"a":"at 10.20.30.40"}}]}}' WHEN 6 THEN '{{"a":"el 3 de","b":"USD $ 1.200,50"}}' WHEN 7 THEN '{{"a":["me@example.org"],"b":"Ver"}}' WHEN 8 THEN '{{"a":"' || repeat('ab ', 150) || '"}}'
+    ELSE '{{"a":' || o_orderkey || ',"z":null}}' END AS functional FROM p
 """)
 def payload_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Corrections each of which is wrong in one way, and what is left of them without bookkeeping."""
     k = F.col("o_orderkey")
-    raw = F.element_at(F.array(F.lit("[1]"), F.lit('{"a": [{"Updated_At": 2, "b": 1}]}'), F.lit('{"a": {"Token": "x"}}'), F.lit('{"a": {"b": "<Script>"}}'), F.concat(F.lit('{"a": "'), F.repeat(F.lit("x"), 400), F.lit('"}')), F.concat(F.lit('{"z": null, "a": '), k.cast("string"), F.lit("}"))), (k % 6 + 1).cast("int"))
+    large, fine = F.concat(F.lit('{"a": "'), F.repeat(F.lit("ab "), 150), F.lit('"}')), F.concat(F.lit('{"z": null, "a": '), k.cast("string"), F.lit("}"))
+    raw = F.element_at(F.array(*(F.lit(raw) for _, raw in _RAW), large, fine), (k % 10 + 1).cast("int"))
     return load(spark, sf, "orders").select("o_orderkey", drafts.payload_error(raw, 300).alias("error"), drafts.functional(raw).alias("functional"))
 
 

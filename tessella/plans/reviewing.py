@@ -233,13 +233,19 @@ def resolved_items(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT o_orderkey, ['approve', 'reject', 'correct', 'reset', 'burn'][(o_orderkey % 5 + 1)::INT] AS action, CASE WHEN o_orderkey % 7 = 0 THEN ' ' ELSE 'ana' END AS actor, CASE WHEN o_orderkey % 11 = 0 THEN 'web' ELSE 'cli' END AS source, CASE WHEN o_orderkey % 3 <> 0 THEN 'why' END AS notes FROM orders)
-SELECT o_orderkey, CASE WHEN action = 'burn' THEN 'unknown_action' WHEN actor = ' ' THEN 'invalid_actor' WHEN source = 'web' THEN 'invalid_source' WHEN action <> 'approve' AND notes IS NULL THEN 'notes_required' END AS error FROM a
+WITH a AS (
+  SELECT o_orderkey, ['approve', 'reject', 'correct', 'reset', 'burn'][(o_orderkey % 5 + 1)::INT] AS action, CASE WHEN o_orderkey % 7 = 0 THEN ' ' WHEN o_orderkey % 7 = 1 THEN 'mail' WHEN o_orderkey % 7 = 2 THEN 'long' ELSE 'ana' END AS actor,
+    CASE WHEN o_orderkey % 11 = 0 THEN 'web' ELSE 'cli' END AS source, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'tax' WHEN 2 THEN 'long' ELSE o_orderpriority END AS notes FROM orders
+)
+SELECT o_orderkey, CASE WHEN action = 'burn' THEN 'unknown_action' WHEN actor = ' ' THEN 'invalid_actor' WHEN actor = 'mail' THEN 'sensitive_actor' WHEN actor = 'long' THEN 'invalid_actor' WHEN source = 'web' THEN 'invalid_source' WHEN notes = 'tax' THEN 'sensitive_notes'
+  WHEN notes = 'long' THEN 'notes_too_long' WHEN action <> 'approve' AND notes IS NULL THEN 'notes_required' END AS error FROM a
 """)
 def action_checks(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("o_orderkey")
     action = F.element_at(F.array(*map(F.lit, ("approve", "reject", "correct", "reset", "burn"))), (k % 5 + 1).cast("int"))
-    said = review.action_error(action, F.when(k % 7 == 0, " ").otherwise("ana"), F.when(k % 11 == 0, "web").otherwise("cli"), F.when(k % 3 != 0, "why"))
+    actor = F.when(k % 7 == 0, " ").when(k % 7 == 1, "ana@example.org").when(k % 7 == 2, F.repeat(F.lit("ab "), 100)).otherwise("ana")
+    notes = F.when(k % 6 == 1, "RUC 1790012345001").when(k % 6 == 2, F.repeat(F.lit("why "), 1200)).when(k % 6 > 2, F.col("o_orderpriority"))
+    said = review.action_error(action, actor, F.when(k % 11 == 0, "web").otherwise(" cli "), notes)
     return load(spark, sf, "orders").select("o_orderkey", said.alias("error"))
 
 

@@ -136,31 +136,6 @@ def test_allowed_links(spark, pages):
     assert {(r.page_id, r.route): r.pos for r in QUERIES["allowed_links"](spark, SF).collect()} == want
 
 
-def test_screen_index(spark, pages):
-    def best(heads, document, route):
-        last = re.sub("/+$", "", route).split("/")[-1]
-        options = [(100, heads[0] if heads else None), (80, document), (40, last.replace("-", " ").replace("_", " ").strip())]
-        scored = [(s - (60 if v.lower() in ("home", "inicio", "menu") else 0), -len(v), v) for s, v in options if v]
-        return max(scored)[2] if scored else None
-
-    want = {}
-    for i, url, h in sorted(pages):
-        route = route_key(path_of(url))
-        want[route] = (i, best(headings(h), title(h), route), len(links(h)), len(plain(shown(h))))
-    assert {r.route: (r.page_id, r.title, r.links, r.characters) for r in QUERIES["screen_index"](spark, SF).collect()} == want
-
-
-def test_structural_fingerprint(spark, pages):
-    digest = lambda heads, ls: hashlib.sha256(json.dumps({"headings": sorted(set(heads)), "links": sorted(set(ls))}, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
-    want = {}
-    for i, _, h in pages:
-        heads, ls = [squeeze(x).lower() for x in headings(h)], links(h)
-        exact = digest(heads, [f"{squeeze(label).lower()}|{href}" for href, label in ls])
-        soft = digest([without_volatile(x) for x in heads], [f"{without_volatile(squeeze(label).lower())}|{route_key(href)}|{masked_query(href)}" for href, label in ls])
-        want[i] = (exact, soft)
-    assert {r.page_id: (r.exact, r.structural) for r in QUERIES["structural_fingerprint"](spark, SF).collect()} == want
-
-
 def test_screen_search(spark, pages):
     from tessella.functions.text import EQUIVALENCES, STOP_WORDS
 
