@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tessella.llm.common import trimmed
+
 #: Matches remembered by a task, the longest that is, and texts that are encoded together.
 CACHE, LONGEST, TEXTS = 60_000, 32, 64
 
@@ -121,7 +123,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
                 new += [[s[:, k].tobytes() for s in spans] for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), *map(_lists, new)], names=[*kept, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def decode_ids(table: list[bytes], ids: list[int]) -> bytes:
@@ -140,7 +142,7 @@ def decode(tokens: DataFrame, path: str, ids_col: str = "ids", bytes_col: str =
             out = [decode_ids(table.value, ids or []) for ids in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(out, pa.binary())], names=[*kept, bytes_col])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.mapInArrow(trimmed(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -167,4 +169,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str, keep: tuple[str, ...] =
             new = [_lists(encoded)] * ids + [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=[f.name for f in schema])
 
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(trimmed(run), schema)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +79,25 @@ def word_count(text) -> F.Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.length(F.regexp_replace(F.regexp_replace(text, WORD, "x"), r"[\x20\x09-\x0D]+", ""))).cast("long")
 
 
+def release() -> None:
+    """Gives what this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, for mapInArrow and mapInPandas. Spark gives a worker process one task after the other, in turns with the others
+    that its executor has started, so what each keeps from its largest task adds up: it is released at a task's end."""
+
+    def task(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return task
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: multiplications and shifts that spread every input bit."""
     x = x.astype(np.uint64, copy=True)
@@ -123,7 +144,7 @@ def forests(edges: DataFrame, block: int = 1 << 18) -> DataFrame:
         if size:
             yield pd.DataFrame(dict(zip("ab", forest(*pd.concat(held)[["a", "b"]].to_numpy().T), strict=True)))
 
-    return edges.select("a", "b").mapInPandas(run, "a long, b long")
+    return edges.select("a", "b").mapInPandas(trimmed(run), "a long, b long")
 
 
 def connected(edges: DataFrame) -> DataFrame:

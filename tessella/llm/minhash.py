@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import common
 from tessella.llm.anchors import spread
-from tessella.llm.common import connected, discard, mix64, stored
+from tessella.llm.common import connected, discard, mix64, stored, trimmed
 
 #: Registers are ROWS in each of BANDS; base of their spacing; register of a minimum of 1. At similarity 0.8 a pair
 #: shares no band with a chance of about one in ten million.
@@ -106,7 +106,7 @@ def sketch(docs: DataFrame, length: int) -> DataFrame:
                 names=["id", "th", "n", "s1", "s2", "regs"],
             )
 
-    return docs.select("id", "th", "text").mapInArrow(run, "id long, th long, n long, s1 long, s2 long, regs binary")
+    return docs.select("id", "th", "text").mapInArrow(trimmed(run), "id long, th long, n long, s1 long, s2 long, regs binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -121,7 +121,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                 s = similarity((x > y).sum(1), (x < y).sum(1), b["n_a"].to_numpy(float), b["n_b"].to_numpy(float))
                 yield b.loc[s >= percent / 100 - SLACK, ["a", "b"]]
 
-    return both.mapInPandas(run, "a long, b long")
+    return both.mapInPandas(trimmed(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
@@ -142,7 +142,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
             if ok:
                 yield pd.DataFrame(ok, columns=["a", "b"])
 
-    return common.by_leader(rows.join(texts, "node")).select("lead", "node", "text").mapInPandas(run, "a long, b long")
+    return common.by_leader(rows.join(texts, "node")).select("lead", "node", "text").mapInPandas(trimmed(run), "a long, b long")
 
 
 def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -192,7 +192,7 @@ def _apart(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             yield pd.DataFrame(compare(rest, np.array([0]), np.array([len(rest)])), columns=["a", "b"])
 
     dealt = rows.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "rep")
-    return dealt.mapInPandas(run, "a long, b long")
+    return dealt.mapInPandas(trimmed(run), "a long, b long")
 
 
 def forest(pairs: np.ndarray, rep: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def _compared(clusters: DataFrame, texts: DataFrame, length: int, percent: int)
             yield b.assign(s=[hasher(t).tobytes() for t in b["text"]])[["cluster", "rep", "c", "parts", "s"]]
 
     size = clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("cluster", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
-    rows = clusters.join(size, "cluster").join(texts.select(F.col("node").alias("rep"), "text"), "rep").select("cluster", "rep", "c", "parts", "text").mapInPandas(sets, "cluster long, rep long, c long, parts int, s binary")
+    rows = clusters.join(size, "cluster").join(texts.select(F.col("node").alias("rep"), "text"), "rep").select("cluster", "rep", "c", "parts", "text").mapInPandas(trimmed(sets), "cluster long, rep long, c long, parts int, s binary")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("cluster", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "c", "s")
 
@@ -261,7 +261,7 @@ def _compared(clusters: DataFrame, texts: DataFrame, length: int, percent: int)
         if rest is not None and len(rest):
             yield pd.DataFrame(compare(rest), columns=["a", "b"])
 
-    return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "rep").mapInPandas(run, "a long, b long")
+    return rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "rep").mapInPandas(trimmed(run), "a long, b long")
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, length: int, percent: int) -> DataFrame:
@@ -282,7 +282,7 @@ def _components(docs: DataFrame, id_col: str, text_col: str, length: int, percen
                 key = (regs << (8 * np.arange(ROWS))).sum(2) | (np.arange(BANDS) << 48)
                 yield pd.DataFrame({"bucket": key.ravel(), "rep": np.repeat(b["rep"].to_numpy(), BANDS), "n": np.repeat(b["n"].to_numpy(), BANDS)})
 
-    bands = classes.select("rep", "n", "regs").mapInPandas(banded, "bucket long, rep long, n long")
+    bands = classes.select("rep", "n", "regs").mapInPandas(trimmed(banded), "bucket long, rep long, n long")
     # one shuffle of the bands: a bucket's size comes by a window, which spills where a bucket is large
     buckets = every = stored(bands.withColumn("m", F.count("*").over(Window.partitionBy("bucket"))).where("m > 1"), "buckets")
     own: DataFrame | None = None  # (rep, c) of the classes that are linked

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.llm.common import trimmed
 from tessella.llm.language import held_out
 
 #: Statistics of a text, each transformed to be nearer to normal.
@@ -65,7 +66,7 @@ def with_statistics(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(stats, pa.list_(pa.float64()))], names=[*keep, "stats"])
 
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("stats", T.ArrayType(T.DoubleType()))])
-    return docs.select(*keep, text_col).mapInArrow(run, schema)
+    return docs.select(*keep, text_col).mapInArrow(trimmed(run), schema)
 
 
 def train(stats: DataFrame) -> dict:
@@ -88,7 +89,7 @@ def train(stats: DataFrame) -> dict:
             yield pd.DataFrame({"y": y, "i": np.arange(s.size), "v": s.ravel()})
 
     # 2 (d + 1)^2 rows
-    rows = stats.where("y in (0, 1)").mapInPandas(moments, "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).toPandas()
+    rows = stats.where("y in (0, 1)").mapInPandas(trimmed(moments), "y int, i int, v double").groupBy("y", "i").agg(F.sum("v").alias("v")).toPandas()
     sums = np.zeros((2, d + 1, d + 1))
     for y, i, v in rows.itertuples(index=False):
         sums[int(y)].ravel()[int(i)] = v
@@ -120,7 +121,7 @@ def score(stats: DataFrame, model: dict, keep: tuple[str, ...]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     schema = T.StructType([*(stats.schema[c] for c in keep), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return stats.select(*keep, "stats").mapInArrow(run, schema)
+    return stats.select(*keep, "stats").mapInArrow(trimmed(run), schema)
 
 
 def labelled(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
@@ -160,4 +161,4 @@ def accepted(docs: DataFrame, model: dict, text_col: str = "text") -> DataFrame:
                 s = density_score(sent.value, np.array([statistics(t.as_py()) for t in batch.column(at)]).reshape(-1, len(NAMES)))
                 yield batch.filter(pa.array(s >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm import anchors
-from tessella.llm.common import stored
+from tessella.llm.common import stored, trimmed
 
 #: A string's bytes; of the grams by which texts are cut, first into runs, then into pieces.
 WINDOW, GRAM, CORE = 400, 128, 352
@@ -141,7 +141,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, core: int = C
                 for text, start, count, key, content, twice, _ in anchors.runs([_bytes(t) for t in texts[at : at + 256]], window, gram):
                     yield pd.DataFrame({"id": ids[at + text], "th": th[at + text], "start": start.astype(np.int32), "count": count.astype(np.int32), "key": key.view(np.int64), "content": content.view(np.int64), "twice": twice})
 
-    runs = stored(docs.where(F.octet_length("text") >= window).mapInPandas(cut, "id long, th long, start int, count int, key long, content long, twice boolean"), "runs")
+    runs = stored(docs.where(F.octet_length("text") >= window).mapInPandas(trimmed(cut), "id long, th long, start int, count int, key long, content long, twice boolean"), "runs")
     keys = runs.groupBy("key").agg(F.count("*").alias("n"), F.min("content").alias("c0"), F.max("content").alias("c1"), F.max("twice").alias("tw")).where("n > 1 or tw")
     shared = stored(runs.join(keys.select("key", (F.col("tw") | (F.col("c0") != F.col("c1"))).alias("hard")), "key").drop("twice"), "shared")
     whole = shared.where("not hard").select("id", "th", F.col("start").alias("a"), (F.col("start") + F.col("count") + window - 1).alias("b"))
@@ -174,7 +174,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, core: int = C
 
     texts = docs.withColumnRenamed("id", "id2").withColumnRenamed("th", "th2")
     joined = asked.join(texts, (F.col("id") == F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", "asked", "text")
-    pieces = stored(joined.mapInPandas(cut_again, "key long, content long, n long, start int, count int, core long, piece long, before binary, after binary"), "pieces")
+    pieces = stored(joined.mapInPandas(trimmed(cut_again), "key long, content long, n long, start int, count int, core long, piece long, before binary, after binary"), "pieces")
     # a repeated row gives its runs' pieces twice: n counts occurrences of a run, so equal pieces of one run are one
     distinct = pieces.groupBy("core", "piece", "key", "content", "start").agg(F.first("n").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"), F.first("count").alias("count"))
     distinct = stored(distinct.groupBy("core", "piece").agg(F.sum("n").alias("n"), F.first("before").alias("before"), F.first("after").alias("after"), F.first("count").alias("count")), "distinct")
@@ -202,7 +202,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, core: int = C
             yield sort_batch(rows)
 
     mixed = sized.where((F.col("d") > 1) & (F.col("d") <= most_pieces)).select("core", "piece", "n", "before", "after", "count")
-    ordered = mixed.repartition("core").sortWithinPartitions("core").mapInPandas(sort, "core long, piece long, hits array<array<int>>")
+    ordered = mixed.repartition("core").sortWithinPartitions("core").mapInPandas(trimmed(sort), "core long, piece long, hits array<array<int>>")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -214,7 +214,7 @@ def spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, core: int = C
             if out:
                 yield pd.DataFrame(out, columns=["core", "piece", "n", "s", "w"])
 
-    single = sized.where(F.col("d") > most_pieces).mapInPandas(windows, "core long, piece long, n long, s int, w binary")
+    single = sized.where(F.col("d") > most_pieces).mapInPandas(trimmed(windows), "core long, piece long, n long, s int, w binary")
     counted = single.groupBy("core", "w").agg(F.sum("n").alias("total")).where("total > 1")
     counted = single.join(counted, ["core", "w"]).groupBy("core", "piece").agg(F.collect_list(F.array(F.col("s"), F.col("s") + 1)).alias("hits"))
     hits = stored(plain.unionByName(ordered).unionByName(counted).where(F.size("hits") > 0), "hits")
@@ -263,7 +263,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             out = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(removed, kind), out], names=["row", "_removed", "_kept"])
 
-    return joined.mapInArrow(remove, schema).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("_removed", "_kept")), "_removed", "_kept")
+    return joined.mapInArrow(trimmed(remove), schema).select(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("_removed", "_kept")), "_removed", "_kept")
 
 
 def cleaned(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
