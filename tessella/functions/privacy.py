@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import squeeze
+from tessella.functions.text import let, squeeze
 
 # What counts as sensitive, in the order in which it is removed.
 PATTERNS = (
@@ -53,8 +53,7 @@ def sanitised(text: Column, limit: int = 4000) -> Column:
     for pattern in PATTERNS:
         # the lambda names what the last step left, so nothing is evaluated twice; each pattern is a literal, compiled once
         state = F.transform(state, _step(pattern))
-    end = state[0]
-    return F.struct(F.substring(squeeze(end["t"]), 1, limit).alias("clean"), end["n"].alias("detections"))
+    return F.get(F.transform(state, lambda end: F.struct(F.substring(squeeze(end["t"]), 1, limit).alias("clean"), end["n"].alias("detections"))), F.lit(0))
 
 
 def _step(pattern: str):
@@ -73,8 +72,12 @@ def compiled() -> list[re.Pattern]:
     return [re.compile(re.sub(r"^\(\?(i?)U\)", lambda m: "(?i)" if m[1] else "", p)) for p in PATTERNS]
 
 
+#: Any of PATTERNS, each with its own flags: one expression and one scan where only whether something is there matters.
+_ANY = "|".join(re.sub(r"^\(\?(i?)U\)(.*)$", r"(?\1U:\2)", p) for p in PATTERNS)
+
+
 def is_sensitive(text: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.coalesce(text, F.lit("")).rlike(p) for p in PATTERNS])
+    return F.coalesce(text, F.lit("")).rlike(_ANY)
 
 
 def without_volatile(text: Column) -> Column:
@@ -93,7 +96,9 @@ def safe_text(title: Column, fragments: Column, limit: int = 2000) -> Column:
     empty = F.struct(F.lit("").alias("text"), F.array().cast("array<string>").alias("seen"), F.lit(0).alias("excluded"))
 
     def add(state: Column, raw: Column) -> Column:
-        s = sanitised(raw, limit)
+        return let(sanitised(raw, limit), lambda s: added(state, raw, s))
+
+    def added(state: Column, raw: Column, s: Column) -> Column:
         key = F.lower(s["clean"])
         joined = F.when(state["text"] == "", s["clean"]).otherwise(F.concat(state["text"], F.lit(" | "), s["clean"]))
         out = lambda text, seen, more: F.struct(text.alias("text"), seen.alias("seen"), (state["excluded"] + more).cast("int").alias("excluded"))

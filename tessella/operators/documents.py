@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions import hashing, privacy
+from tessella.sources.shared import written_once
 
 # Names of types in texts, and the properties that name an entity, in order.
 TYPE_NAMES = {
@@ -43,7 +44,7 @@ def rendered(entities: DataFrame, erp: str, erp_name: Column, version: str, know
     Relatives (screen, its module, table, parent, source and target state) are looked up by id, among rows of their types
     only; each lookup is a join on one key. Entities without a safe label are skipped.
     """
-    rows = labelled(entities)
+    rows = written_once(labelled(entities), "labelled")  # labels are cleaned once, the lookups below read them
     names = rows.select(F.col("canonical_id").alias("_id"), F.col("safe_label").alias("_label"), F.col("entity_type").alias("_type"))
 
     def with_name(df: DataFrame, key: str, name: str, *types: str) -> DataFrame:

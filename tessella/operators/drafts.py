@@ -73,6 +73,29 @@ def purpose(title: Column, direct: Column, prudent: Column) -> Column:
     return F.substring(F.array_join(F.array_compact(F.array(first, *more)), " "), 1, 600)
 
 
+# How structured output may have been asked for.
+OUTPUT_MODES = ("json_schema", "json")
+
+
+def proposal_checks(candidate: Column, package: Column, expected: Column) -> dict[str, Column]:
+    """The twelve comparisons that a generated candidate must pass to become a proposal, for mismatches().
+
+    candidate (semantic_type, screen_id, evidence_hash, evidence_ids, inference: JSON, generated_content_hash, prompt_version,
+    prompt_hash, generation_parameters, generation_parameters_hash, generation_model, structured_output_mode, refs), package
+    (screen_id, evidence_hash, evidence_ids, refs: what may be referred to), expected (prompt_version, prompt_hash,
+    generation_parameters, generation_parameters_hash, generation_model).
+    """
+    same = lambda name, of: candidate[name] == of[name]
+    return {
+        "semantic_type": candidate["semantic_type"] == "screen_purpose",
+        **{n: same(n, package) for n in ("screen_id", "evidence_hash", "evidence_ids")},
+        "generated_content_hash": candidate["generated_content_hash"] == F.sha2(candidate["inference"], 256),
+        **{n: same(n, expected) for n in ("prompt_version", "prompt_hash", "generation_parameters", "generation_parameters_hash", "generation_model")},
+        "structured_output_mode": candidate["structured_output_mode"].isin(*OUTPUT_MODES),
+        "references": F.size(F.array_except(candidate["refs"], package["refs"])) == 0,
+    }
+
+
 def mismatches(checks: dict[str, Column]) -> Column:
     """Names of checks that fail, in order; a check that can't be made fails."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(checks[k], F.lit(False)), F.lit(k)) for k in sorted(checks)]))

@@ -23,6 +23,14 @@ def effective(items: DataFrame, log: DataFrame, key: str = "item_id") -> DataFra
     return items.join(told, key, "left").withColumn("effective", F.coalesce(kept, F.col("source_payload"))).drop("payload")
 
 
+def publication_errors(items: DataFrame, log: DataFrame, key: str = "item_id") -> DataFrame:
+    """(key, error): items that are corrected although no correction of them is in force. They can't be published."""
+    order = F.struct("created_at", "action_id")
+    told = set_or_reset(log, key, order, F.when(F.col("action") == "correct", F.col("corrected_payload")), F.col("action") == "reset")
+    lost = items.where("status = 'corrected'").join(told.where("payload is not null").select(key), key, "left_anti")
+    return lost.select(key, F.lit("corrected_without_correction").alias("error"))
+
+
 def publishable(effective_items: DataFrame) -> DataFrame:
     return effective_items.where(F.col("status").isin("approved", "corrected"))
 

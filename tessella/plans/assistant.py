@@ -73,7 +73,8 @@ def walked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     hits, walks = walked(spark, sf)
     walks, known = written_once(walks, "walks"), written_once(approved(spark, sf), "approved")
-    return retrieval.sources(retrieval.candidate_ids(hits, walks), hits, walks, known), retrieval.relations(walks, known), hits
+    found = written_once(retrieval.sources(retrieval.candidate_ids(hits, walks), hits, walks, known), "sources")
+    return found, written_once(retrieval.relations(walks, known), "relations"), hits
 
 
 _ROUTED = """first AS (SELECT question_id, target, min_by(source, seq) AS source FROM rel WHERE type IN ('HAS_FIELD', 'HAS_CONTROL', 'HAS_TABLE') GROUP BY ALL),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import hashing, privacy, routes, text
 from tessella.operators.policy import is_local
 from tessella.operators.relations import dangling, duplicates
+from tessella.sources.shared import counted, written_once
 
 
 def _kept(region: Column) -> Column:
@@ -30,12 +31,15 @@ def build(erp: str, screens: DataFrame, states: DataFrame, transitions: DataFram
     out = {"erp": spark.range(1).select(_ident("erp", e).alias("erp_id"), e.alias("name"))}
     erp_id = _ident("erp", e)
     out["module"] = modules.select(_ident("module", e, text.id_key(F.col("name"))).alias("module_id"), erp_id.alias("erp_id"), "name", "prefix")
-    s = screens.withColumn("route", routes.route_key(F.col("route"))).withColumn("screen_id", _ident("screen", e, F.col("route")))
+    # screens get their keys once, and are written with them, as every kind of child reads them
+    s = written_once(screens.withColumn("route", routes.route_key(F.col("route"))).withColumn("screen_id", _ident("screen", e, F.col("route"))), "screens")
     up = s.select("screen_id", F.explode(routes.ancestors(F.col("route"))).alias("prefix"))
     home = up.join(out["module"].select("prefix", "module_id"), "prefix").groupBy("screen_id").agg(F.max_by("module_id", F.length("prefix")).alias("module_id"))
     labels = F.concat(*[F.coalesce(F.transform(F.filter(F.col(c), lambda x: is_local(x["region"]) & _kept(x["region"])), lambda x: x[f]), F.array().cast("array<string>")) for c, f in (("inputs", "label"), ("buttons", "text"), ("tables", "name"), ("local_links", "text"))])
     out["screen"] = s.join(home, "screen_id", "left").select("screen_id", erp_id.alias("erp_id"), "module_id", "route", "title", text.id_key(F.col("title")).alias("normalized_title"), privacy.safe_text(F.col("title"), labels)["text"].alias("main_content_text"))
 
+    out["screen"] = written_once(out["screen"], "screen")
+
     def children(column: str, kind: str, label: Column, *more: str) -> DataFrame:
         rows = s.select("screen_id", F.posexplode(column).alias("pos", "x")).where(_kept(F.col("x.region")))
         rows = rows.withColumn(f"{kind}_id", _ident(kind, F.col("screen_id"), text.id_key(label), F.coalesce(F.col("x.region"), F.lit(""))))
@@ -45,6 +49,7 @@ def build(erp: str, screens: DataFrame, states: DataFrame, transitions: DataFram
     out["field"] = children("inputs", "field", text.first_filled(F.col("x.label"), F.col("x.placeholder"), F.col("x.name")), "type", "region")
     out["control"] = children("buttons", "control", text.first_filled(F.col("x.text")), "type", "region").withColumn("label", F.coalesce("label", F.lit("unlabeled control")))
     out["table"] = children("tables", "table", text.first_filled(F.col("x.name"), F.array_join("x.headers", " ")), "headers", "row_count")
+    out["table"] = written_once(out["table"], "table")
     out["column"] = out["table"].select("table_id", "screen_id", F.posexplode("headers").alias("position", "name")).where("trim(name) <> ''").withColumn("column_id", _ident("column", F.col("table_id"), F.col("position").cast("string"), text.id_key(F.col("name"))))
     out["table"] = out["table"].drop("headers")
     links = s.select("screen_id", F.posexplode(F.concat(F.coalesce("local_links", F.array()), F.coalesce("links", F.array()))).alias("pos", "x")).where(_kept(F.col("x.region")))
@@ -65,6 +70,20 @@ def build(erp: str, screens: DataFrame, states: DataFrame, transitions: DataFram
     return out
 
 
+OMITTED = ("inputs", "buttons", "tables", "local_links", "links")
+
+
+def written_without_sensitive(screens: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(screens without elements of sensitive regions, written; what was left out): the number of screens as `n`, and for each
+    kind of element how many were omitted, counted while the screens are written. Null arrays stay null."""
+    kinds = [k for k in OMITTED if k in screens.columns]
+    gone = lambda k: F.coalesce(F.size(F.filter(k, lambda x: ~_kept(x["region"]))), F.lit(0))
+    marked = screens.withColumns({f"_{k}": F.when(F.col(k).isNotNull(), gone(k)).otherwise(0) for k in kinds})
+    kept = marked.withColumns({k: F.filter(k, lambda x: _kept(x["region"])) for k in kinds})
+    table, said = counted(kept, "screens", **{k: F.coalesce(F.sum(f"_{k}"), F.lit(0)) for k in kinds})
+    return table.drop(*(f"_{k}" for k in kinds)), said
+
+
 def issues(entities: dict[str, DataFrame]) -> DataFrame:
     """(severity, code, subject): ids that repeat, and references to entities that are not there."""
     ids = {"module": "module_id", "screen": "screen_id", "field": "field_id", "control": "control_id", "table": "table_id", "column": "column_id", "link": "link_id", "state": "state_key", "transition": "transition_id"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from tessella.operators import audits, crawl, drafts, relations
 from tessella.plans.base import ENTITIES, entities
 from tessella.plans.registry import query
 from tessella.session import load
+from tessella.sources.shared import written_once
 
 _ITEMS = """i AS (SELECT p_partkey % 40 AS screen, p_partkey AS seq, (['Ventas', ' ventas ', 'Compras  y pagos', '', 'Menu de navegación', 'x', 'Inicio'])[(p_partkey % 7 + 1)::INT] || CASE WHEN p_partkey % 13 = 0 THEN repeat('y', 90) ELSE '' END AS t,
   (['nav-group', 'NAV-ITEM', 'div'])[(p_partkey % 3 + 1)::INT] AS tag, 's' || p_partkey AS selector FROM part)"""
@@ -98,23 +101,30 @@ def crawl_summary(spark: SparkSession, sf: str) -> DataFrame:
     return crawl.summary(load(spark, sf, "pages").select(F.when(F.col("url").contains("1"), "t").alias("title")), events.select(F.col("event_type").alias("kind")), events.where("event_type = 'error'"))
 
 
-_ORDERED = {"field": "coalesce(position, 2147483648), coalesce(nullif(label, ''), chr(65535)), coalesce(nullif(name, ''), chr(65535)), canonical_id", "ui_state": "CASE WHEN coalesce(depth, 2147483648) <> 0 THEN 1 ELSE 0 END, coalesce(depth, 2147483648), canonical_id"}
+_LAST, _NONE = 2**31, "chr(65535)"
+_WORD = lambda *cs: f"coalesce({', '.join(f"nullif({c}, '')" for c in cs)}, {_NONE})"
+_PLACE = f"coalesce(position, {_LAST})"
+_ORDERED = {
+    "ui_state": f"CASE WHEN coalesce(depth, {_LAST}) <> 0 THEN 1 ELSE 0 END, coalesce(depth, {_LAST})", "table": f"{_PLACE}, coalesce(name, '')", "table_column": f"{_PLACE}, coalesce(name, '')",
+    "field": f"{_PLACE}, {_WORD('label')}, {_WORD('name')}", "control": f"{_PLACE}, {_WORD('category')}, {_WORD('label')}", "link": f"{_PLACE}, {_WORD('label')}, {_WORD('route', 'target_screen_id')}",
+    "event": f"{_WORD('category')}, {_WORD('source_state_id', 'screen_id')}", "transition": f"{_WORD('source_state_id')}, {_WORD('target_state_id')}, {_WORD('event_id')}",
+}
+_OWNER = "coalesce(table_id, screen_id, source_state_id, '')"
 
 
 @query(f"""
-WITH {ENTITIES}, e AS (SELECT *, CASE WHEN seq % 3 <> 0 THEN seq % 10 END AS position FROM ent)
-SELECT canonical_id, row_number() OVER (ORDER BY {_ORDERED['field']}) AS place FROM e WHERE entity_type = 'field' UNION ALL SELECT canonical_id, row_number() OVER (ORDER BY {_ORDERED['ui_state']}) FROM e WHERE entity_type = 'ui_state'
+WITH {ENTITIES}, e AS (SELECT *, CASE WHEN seq % 3 <> 0 THEN seq % 10 END AS position, {_OWNER} AS owner FROM ent)
+{" UNION ALL ".join(f"SELECT canonical_id, row_number() OVER (PARTITION BY owner ORDER BY {o}, canonical_id) AS place FROM e WHERE entity_type = '{k}'" for k, o in _ORDERED.items())}
 """)
 def planner_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Fields and states in the order of a plan, per kind."""
+    """Each kind's rows in the order of a plan, within the screen, table or state that they belong to."""
     from pyspark.sql import Window
 
-    rows = entities(spark, sf).withColumn("position", F.when(F.col("seq") % 3 != 0, F.col("seq") % 10)).withColumnsRenamed({"label": "normalized_label", "name": "normalized_name"})
-    out = None
-    for kind in ("field", "ui_state"):
-        one = rows.where(F.col("entity_type") == kind).withColumn("place", F.row_number().over(Window.partitionBy("entity_type").orderBy(*crawl.planner_order(kind)))).select("canonical_id", "place")
-        out = one if out is None else out.unionByName(one)
-    return out
+    none = F.lit(None).cast("string")
+    rows = written_once(entities(spark, sf), "entities").withColumns({"position": F.when(F.col("seq") % 3 != 0, F.col("seq") % 10), "owner": F.expr(_OWNER), "control_type": F.col("category"), "event_type": none, "control_id": none, "link_id": none, "target_route": F.col("target_screen_id")})
+    rows = rows.withColumnsRenamed({"label": "normalized_label", "name": "normalized_name"})
+    each = [rows.where(F.col("entity_type") == k).withColumn("place", F.row_number().over(Window.partitionBy("owner").orderBy(*crawl.planner_order(k)))).select("canonical_id", "place") for k in _ORDERED]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query("""
@@ -148,12 +158,24 @@ def purpose_summaries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'evidence_hash' END, CASE WHEN o_orderkey % 3 = 0 THEN 'references' END, CASE WHEN o_orderstatus <> 'O' THEN 'screen_id' END], lambda x: x IS NOT NULL), ',') AS failed FROM orders
+SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_custkey % 5 = 0 THEN 'evidence_hash' END, CASE WHEN o_orderpriority = '1-URGENT' THEN 'evidence_ids' END, CASE WHEN o_custkey % 11 = 0 THEN 'generated_content_hash' END,
+  CASE WHEN o_orderpriority = '5-LOW' THEN 'generation_model' END, CASE WHEN o_orderkey % 13 = 0 THEN 'generation_parameters' END, CASE WHEN o_orderkey % 17 = 0 THEN 'generation_parameters_hash' END, CASE WHEN o_orderkey % 19 = 0 THEN 'prompt_hash' END,
+  CASE WHEN year(o_orderdate) = 1995 THEN 'prompt_version' END, CASE WHEN o_orderkey % 7 = 0 THEN 'references' END, CASE WHEN o_orderkey % 3 = 0 THEN 'screen_id' END, CASE WHEN o_orderstatus = 'F' THEN 'semantic_type' END,
+  CASE WHEN o_custkey % 7 = 0 THEN 'structured_output_mode' END], lambda x: x IS NOT NULL), ',') AS failed FROM orders
 """)
 def candidate_consistency(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey")
-    checks = {"screen_id": F.col("o_orderstatus") == "O", "references": k % 3 != 0, "evidence_hash": F.when(k % 5 == 0, None).otherwise(True)}
-    return load(spark, sf, "orders").select("o_orderkey", F.array_join(drafts.mismatches(checks), ",").alias("failed"))
+    """Orders as generated candidates, each held against the package of its customer."""
+    rows = load(spark, sf, "orders").selectExpr(
+        "o_orderkey", """named_struct('screen_id', concat('screen:', o_custkey), 'evidence_hash', sha2(cast(o_custkey as string), 256), 'evidence_ids', array(o_orderstatus, 'e'), 'refs', array('control:1', concat('field:', o_custkey))) AS package""",
+        """named_struct('prompt_version', 'v3', 'prompt_hash', 'p', 'generation_parameters', '{"temperature":0}', 'generation_parameters_hash', 'g', 'generation_model', 'm') AS expected""",
+        """named_struct('semantic_type', if(o_orderstatus = 'F', 'other', 'screen_purpose'), 'screen_id', if(o_orderkey % 3 = 0, null, concat('screen:', o_custkey)), 'evidence_hash', sha2(cast(o_custkey - if(o_custkey % 5 = 0, 1, 0) as string), 256),
+          'evidence_ids', if(o_orderpriority = '1-URGENT', array('e', o_orderstatus), array(o_orderstatus, 'e')), 'inference', to_json(named_struct('of', o_orderkey)),
+          'generated_content_hash', sha2(if(o_custkey % 11 = 0, '{}', to_json(named_struct('of', o_orderkey))), 256), 'prompt_version', if(year(o_orderdate) = 1995, 'v2', 'v3'), 'prompt_hash', if(o_orderkey % 19 = 0, null, 'p'),
+          'generation_parameters', if(o_orderkey % 13 = 0, '{}', '{"temperature":0}'), 'generation_parameters_hash', if(o_orderkey % 17 = 0, 'x', 'g'), 'generation_model', if(o_orderpriority = '5-LOW', 'n', 'm'),
+          'structured_output_mode', if(o_custkey % 7 = 0, 'text', 'json'), 'refs', if(o_orderkey % 7 = 0, array('control:1', 'control:2'), array(concat('field:', o_custkey)))) AS candidate""",
+    )
+    checks = drafts.proposal_checks(F.col("candidate"), F.col("package"), F.col("expected"))
+    return rows.select("o_orderkey", F.array_join(drafts.mismatches(checks), ",").alias("failed"))
 
 
 _INTENT = ("locate", "fields", "buttons", "tables", "describe", "unknown")

@@ -9,6 +9,7 @@ from tessella.operators import evidence, review, versions
 from tessella.plans.base import ENTITIES, entities
 from tessella.plans.registry import query
 from tessella.session import load
+from tessella.sources.shared import written_once
 
 _KINDS = "CASE l_linenumber WHEN 1 THEN 'fields' WHEN 2 THEN 'controls' WHEN 3 THEN 'ui_states' WHEN 4 THEN 'events' WHEN 5 THEN 'tables' WHEN 6 THEN 'transitions' ELSE 'columns' END"
 _LABEL = "CASE WHEN l_partkey % 97 = 0 THEN 'mail me@example.org' WHEN l_partkey % 89 = 0 THEN ' ' WHEN l_partkey % 2 = 0 THEN 'Item  ' || (l_partkey % 163) ELSE 'ITEM ' || (l_partkey % 163) END"
@@ -176,7 +177,7 @@ h AS (SELECT screen, sha256(string_agg(entity_type || '=' || d, ';' ORDER BY ent
 
 
 def structure(spark: SparkSession, sf: str) -> DataFrame:
-    every = entities(spark, sf)
+    every = written_once(entities(spark, sf), "entities")
     labels = every.select("canonical_id", F.coalesce("title", "label", "name", "category").alias("label"))
     return review.structures(every.where("entity_type = 'screen'").select(F.col("canonical_id").alias("screen_id")), review.neighbourhood(every), labels)
 
@@ -277,3 +278,17 @@ def effective_descriptions(spark: SparkSession, sf: str) -> DataFrame:
     told = versions.effective(items, log).join(log.groupBy("item_id").agg(F.count("*").alias("history")), "item_id", "left")
     good = versions.publishable(told).select("item_id", F.lit(True).alias("publishable"))
     return told.join(good, "item_id", "left").select("item_id", "effective", F.coalesce("history", F.lit(0)).alias("history"), F.coalesce("publishable", F.lit(False)).alias("publishable"))
+
+
+@query("""
+WITH l AS (SELECT l_orderkey AS item_id, l_linenumber * 1000000 + l_partkey AS n, CASE l_linenumber % 3 WHEN 0 THEN 'reset' WHEN 1 THEN 'correct' ELSE 'approve' END AS action FROM lineitem),
+t AS (SELECT item_id, max(n) FILTER (action = 'correct') AS c, max(n) FILTER (action = 'reset') AS r FROM l GROUP BY 1)
+SELECT o_orderkey AS item_id, 'corrected_without_correction' AS error FROM orders LEFT JOIN t ON item_id = o_orderkey WHERE o_orderkey % 4 = 3 AND (c IS NULL OR coalesce(r, -1) > c)
+""")
+def unbacked_corrections(spark: SparkSession, sf: str) -> DataFrame:
+    """Corrected orders whose last correction was taken back, or that never had one."""
+    items = load(spark, sf, "orders").select(F.col("o_orderkey").alias("item_id"), F.when(F.col("o_orderkey") % 4 == 3, "corrected").otherwise("approved").alias("status"))
+    n = F.col("l_linenumber")
+    action = F.when(n % 3 == 0, "reset").when(n % 3 == 1, "correct").otherwise("approve")
+    log = load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item_id"), n.alias("created_at"), F.col("l_partkey").alias("action_id"), action.alias("action"), F.lit("{}").alias("corrected_payload"))
+    return versions.publication_errors(items, log)

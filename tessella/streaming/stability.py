@@ -67,7 +67,8 @@ def stable_runs_of_batch(observations: DataFrame, times: int, least_ms: int = 0)
     runs = observations.withColumn("run", F.sum(changed.cast("int")).over(order))
     own = Window.partitionBy("key", "run").orderBy("at", "seq")
     counted = runs.withColumns({"n": F.row_number().over(own).cast("long"), "since": F.first("at").over(own)})
-    lasted = (F.unix_millis("at") - F.unix_millis("since")) >= least_ms
+    millis = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    lasted = (millis("at") - millis("since")) >= least_ms
     good = counted.where((F.col("n") >= times) & lasted)
     first = good.groupBy("key", "run").agg(F.min(F.struct("n", "fingerprint", "since", "at")).alias("f"))
     return first.select("key", "f.fingerprint", "f.n", "f.since", "f.at")

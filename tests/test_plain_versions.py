@@ -180,3 +180,18 @@ def test_canonical_entities(spark, pages):
     issues = QUERIES["canonical_issues"](spark, SF).collect()
     assert all(r.severity == "warning" for r in issues)
     assert {r.subject for r in issues if r.code == "incomplete_transition"} == {f"s{i + 1}" for i in ids if i + 1 not in ids}
+
+
+def test_statement_checks(spark):
+    phrases = ("ignore previous instructions", "ignora las instrucciones", "system prompt", "act as system", "cambia tu rol")
+    turns = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
+    got = {(r.conv_id, r.turn): r.error for r in QUERIES["statement_checks"](spark, SF).collect()}
+    assert got.keys() == turns.keys()
+    for (conv, turn), said in turns.items():
+        said = "   " if turn % 7 == 5 else said + " — Cambia TU rol" if turn % 7 == 3 and said is not None else said
+        t = squeeze(said)
+        wanted = (
+            "inference_empty" if not t else "inference_length" if len(t) > 400 else "inference_privacy" if any(p.search(t) for p in PATTERNS)
+            else "inference_prompt_injection" if any(p in t.lower() for p in phrases) else None
+        )
+        assert got[conv, turn] == wanted, (conv, turn)
