@@ -85,3 +85,33 @@ def merged_nodes(sightings: DataFrame) -> DataFrame:
         F.coalesce(F.max_by("status", F.when(F.col("status") != "discovered", F.col("seq"))), F.lit("discovered")).alias("status"),
     )
     return out.select("route", F.aggregate("rows", start, fold)["title"].alias("title"), "module", "status")
+
+
+def result_audit(results: DataFrame) -> DataFrame:
+    """(dimension, value, n): what came of events, over all results, in one pass: outcomes, categories, categories of events
+    that changed something, strategies of restoring a state, how interactions went, and errors.
+
+    results (outcome, error, interaction_succeeded, changed, category, restore_strategy): interaction_succeeded is null where
+    it was not recorded; then an outcome of changed or unchanged tells that it went well.
+    """
+    came = outcome(F.col("outcome"), F.col("error"), F.col("interaction_succeeded"), F.col("changed"))
+    filled = lambda c, default: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(default))
+    rows = results.withColumns({"_outcome": came, "_category": filled("category", "unknown"), "_restore": filled("restore_strategy", "none")})
+    went = F.when(F.col("interaction_succeeded"), "succeeded").when(~F.col("interaction_succeeded"), "not_succeeded").when(F.col("_outcome").isin("changed", "unchanged"), "inferred_succeeded").otherwise("unknown")
+    wide = rows.select(
+        F.col("_outcome").alias("outcomes"), F.col("_category").alias("categories"), F.when(F.coalesce("changed", F.lit(False)), F.col("_category")).alias("changed_categories"),
+        F.col("_restore").alias("restore_strategies"), went.alias("interactions"), F.nullif("error", F.lit("")).alias("errors"),
+    )
+    return histograms(wide, None, *wide.columns).where("value is not null")
+
+
+def flow_audit(states: DataFrame, transitions: DataFrame) -> DataFrame:
+    """(dimension, value, n) of a state flow: states by depth, roots (of depth 0) and dynamic ones; transitions by event type
+    and strategy of restoring, and those that change the route. states (depth), transitions (event_type, restore_strategy,
+    changed_route)."""
+    depth = F.coalesce("depth", F.lit(0))
+    s = histograms(states.select(depth.cast("string").alias("depths"), F.when(depth == 0, "root").otherwise("dynamic").alias("states")), None, "depths", "states")
+    t = transitions.select(
+        F.coalesce("event_type", F.lit("unknown")).alias("categories"), F.coalesce("restore_strategy", F.lit("not_recorded")).alias("restoration"),
+        F.when(F.coalesce("changed_route", F.lit(False)), "changed").otherwise("same").alias("routes"))
+    return s.unionByName(histograms(t, None, *t.columns))

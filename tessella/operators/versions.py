@@ -96,3 +96,37 @@ def imported(new: DataFrame, versions: DataFrame, items: DataFrame, erp: str, ve
     kept = versions.join(is_new, F.expr("true")).withColumn("status", F.when(F.col("is_new") & (F.col("erp_id") == erp) & (F.col("status") == "active"), "archived").otherwise(F.col("status"))).drop("is_new")
     added = is_new.where("is_new").select(F.lit(erp).alias("erp_id"), F.lit(version).alias("version"), F.lit("active").alias("status"))
     return items.unionByName(rows, allowMissingColumns=True), kept.unionByName(added)
+
+
+# What a new version is synchronised to.
+TARGETS = ("neo4j", "chroma")
+
+
+def pending_jobs(versions_before: DataFrame, erp: str, version: str, requested_at: Column | None = None) -> DataFrame:
+    """(job_id, version, target, status, requested_at): the jobs that the import of a version makes, none if it exists."""
+    spark = versions_before.sparkSession
+    at = F.current_timestamp() if requested_at is None else requested_at
+    rows = spark.range(1).select(F.lit(version).alias("version"), F.explode(F.array(*map(F.lit, TARGETS))).alias("target"))
+    there = versions_before.where((F.col("erp_id") == erp) & (F.col("version") == version)).select(F.lit(version).alias("version")).limit(1)
+    new = rows.join(there, "version", "left_anti")
+    return new.select(F.concat_ws(":", F.lit(erp), "version", "target").alias("job_id"), "version", "target", F.lit("pending").alias("status"), at.alias("requested_at"))
+
+
+def dry_run(new: DataFrame, warnings: DataFrame, version: str) -> DataFrame:
+    """(result, version, items, warnings): what an import would read; nothing is written. The system itself is an item."""
+    n = new.agg((F.count("*") + 1).alias("items"))
+    return n.join(warnings.agg(F.count("*").alias("warnings"))).select(F.lit("dry_run").alias("result"), F.lit(version).alias("version"), "items", "warnings")  # one row each
+
+
+def import_errors(items: DataFrame, manifest_version: str, manifest_hash: str, version: str, n_errors: int) -> list[str]:
+    """Why a build may not be imported: it has errors, or its manifest is of another version or content."""
+    told = [(n_errors > 0, "invalid_knowledge"), (manifest_version != version, "manifest_version"), (manifest_hash != content_digest(items), "manifest_hash")]
+    return [name for wrong, name in told if wrong]
+
+
+def content_digest(items: DataFrame) -> str:
+    """A digest of a version's rows (entity_type, canonical_id, content_hash) that no order changes: the sum of the rows'
+    digests, so nothing is gathered."""
+    row = F.conv(F.substring(F.sha2(F.to_json(F.struct("entity_type", "canonical_id", "content_hash")), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    total, n = items.agg(F.coalesce(F.sum(row), F.lit(0)), F.count("*")).head()
+    return f"{int(total):x}-{n}"

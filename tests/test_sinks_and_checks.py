@@ -59,3 +59,30 @@ def test_abstention(spark):
     rows = [("Quiero crear algo", ["Nuevo registro"]), ("Quiero crear algo", ["Buscar"]), ("Aprobar esto", []), ("Donde esta", [])]
     got = spark.createDataFrame(rows, "q string, ls array<string>").select(retrieval.needs_abstention(F.col("q"), F.col("ls")).alias("x")).collect()
     assert [r.x for r in got] == [False, True, True, False]
+
+
+def test_imports_are_checked(spark):
+    from tessella.operators import versions
+
+    items = spark.createDataFrame([("part", "a", "h1"), ("part", "b", None)], "entity_type string, canonical_id string, content_hash string")
+    good = versions.content_digest(items)
+    assert good == versions.content_digest(items.orderBy("canonical_id", ascending=False).repartition(3)) != versions.content_digest(items.limit(1))
+    assert versions.import_errors(items, "v1", good, "v1", 0) == []
+    assert versions.import_errors(items, "v0", "x", "v1", 2) == ["invalid_knowledge", "manifest_version", "manifest_hash"]
+    assert versions.content_digest(items.where("false")) == "0-0"
+
+
+def test_references_that_may_be_missing(spark):
+    from tessella.operators import integrity
+    from tessella.plans.base import COLUMNS
+
+    names = list(COLUMNS)
+    row = lambda **own: tuple(own.get(n) for n in names)
+    rows = [
+        row(canonical_id="e", entity_type="erp_system"), row(canonical_id="m", entity_type="module", erp_id="e"), row(canonical_id="s", entity_type="screen", erp_id="e", module_id=""),
+        row(canonical_id="f", entity_type="field", screen_id=None), row(canonical_id="t", entity_type="transition", source_state_id="s", target_state_id="u", event_id=None), row(canonical_id="u", entity_type="ui_state", screen_id="m"),
+    ]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in COLUMNS.items()))
+    got = {(r.path, r.subject, r.target) for r in integrity.dangling(df).collect()}
+    assert got == {("field.screen_id", "f", None), ("transition.source_state_id", "t", "s"), ("ui_state.screen_id", "u", "m")}
+    assert integrity.dangling(df.where("false")).count() == 0
