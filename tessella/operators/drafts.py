@@ -22,15 +22,6 @@ FORBIDDEN_KEYS = ("password", "passwd", "token", "cookie", "authorization", "ema
 DRAFT = "struct<semantic_type: string, screen_id: string, supported_capabilities: array<struct<action: string, statement: string, evidence_refs: array<string>>>>"
 
 
-def reference_index(screens: DataFrame, packed: DataFrame, tables: DataFrame) -> DataFrame:
-    """(screen_id, ref, kind, label): everything that a statement about a screen may refer to."""
-    own = screens.select("screen_id", F.col("screen_id").cast("string").alias("ref"), F.lit("screen").alias("kind"), F.col("title").alias("label"))
-    items = packed.select("screen_id", F.explode("evidence").alias("kind", "xs")).select("screen_id", F.explode("xs").alias("x"), F.regexp_replace("kind", "s$", "").alias("kind"))
-    listed = items.select("screen_id", F.col("x.id").alias("ref"), F.col("kind"), F.col("x.label").alias("label"))
-    columns = tables.select("screen_id", F.explode("columns").alias("x")).select("screen_id", F.col("x.id").alias("ref"), F.lit("column").alias("kind"), F.col("x.label").alias("label"))
-    return own.unionByName(listed).unionByName(columns.distinct())
-
-
 def parsed(drafts: DataFrame, plan: DataFrame) -> DataFrame:
     """(screen_id, error, statements) of raw drafts (screen_id, raw): the first thing that is wrong, or what they claim.
 

@@ -57,11 +57,6 @@ def runs(df: DataFrame, key: str, order: Sequence[Column], value: str) -> DataFr
     return marked.groupBy(key, "run").agg(F.first(value).alias(value), F.count("*").alias("n"))
 
 
-def stable_after(df: DataFrame, key: str, order: Sequence[Column], value: str, times: int) -> DataFrame:
-    """For each key the number of the first run that lasted at least `times` rows."""
-    return runs(df, key, order, value).where(F.col("n") >= times).groupBy(key).agg(F.min("run").alias("stable_run"))
-
-
 def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int, most: int = 1000) -> DataFrame:
     """Rows offset+1 to offset+limit, limit held to `most`. order must have no ties."""
     return df.orderBy(*order).offset(offset).limit(min(limit, most))

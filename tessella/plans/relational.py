@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import hashing
-from tessella.operators import ranking, relations
+from tessella.operators import audits, ranking, relations
 from tessella.plans.registry import query
 from tessella.session import load
 
@@ -123,9 +123,10 @@ def audit_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return each.unionByName(each.groupBy("event_type").agg(F.sum("n").alias("n")).withColumn("user_id", F.lit(None).cast("long")))
 
 
-@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, p_brand LIMIT 5")
+@query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand ORDER BY n DESC, min(p_partkey) LIMIT 5")
 def top_n_common(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "part").groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "p_brand").limit(5)
+    """The five most frequent brands, among equals the one seen first."""
+    return audits.most_common(load(spark, sf, "part"), "p_brand", "p_partkey").select("p_brand", "n")
 
 
 @query("SELECT l_orderkey, l_partkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
@@ -278,7 +279,6 @@ WITH o AS (SELECT event_id, CASE WHEN event_type = 'error' AND value < 10 THEN '
 SELECT outcome, count(*) AS n FROM o GROUP BY outcome
 """)
 def outcome_counts(spark: SparkSession, sf: str) -> DataFrame:
-    from tessella.operators import audits
 
     said = audits.outcome(F.lit(None).cast("string"), F.when(F.col("event_type") == "error", "e"), F.col("value") >= 10, F.col("value") > 50)
     return load(spark, sf, "events").groupBy(said.alias("outcome")).agg(F.count("*").alias("n"))
@@ -289,7 +289,6 @@ WITH p AS (SELECT user_id, 'event_type' AS dimension, event_type AS value FROM e
 SELECT user_id AS "group", dimension, value, count(*) AS n FROM p GROUP BY GROUPING SETS ((user_id, dimension, value), (dimension, value))
 """)
 def audit_histograms(spark: SparkSession, sf: str) -> DataFrame:
-    from tessella.operators import audits
 
     rows = load(spark, sf, "events").select("user_id", "event_type", (F.coalesce(F.col("value"), F.lit(0.0)) > 50).alias("large"))
     return audits.histograms(rows, "user_id", "event_type", "large")
@@ -300,7 +299,6 @@ SELECT c_custkey AS state_id, min_by(o_orderkey, (length(o_orderpriority), o_ord
 """)
 def shortest_path_per_state(spark: SparkSession, sf: str) -> DataFrame:
     """An order's priority, split in letters, stands for a path."""
-    from tessella.operators import audits
 
     rows = load(spark, sf, "orders").select(F.col("o_custkey").alias("state_id"), F.col("o_orderkey").alias("seq"), F.split("o_orderpriority", "").alias("path"), F.col("o_orderkey").cast("string").alias("title"))
     best = audits.shortest_paths(rows)

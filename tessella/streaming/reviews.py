@@ -18,11 +18,11 @@ def effective_corrections(log: DataFrame, key: str = "item_id") -> DataFrame:
     return set_or_reset(log, key, F.struct("created_at", "action_id"), F.when(F.col("action") == "correct", F.col("corrected_payload")), F.col("action") == "reset")
 
 
-def stable_fingerprints(observations: DataFrame, times: int, idle: str = "10 minutes") -> DataFrame:
+def stable_fingerprints(observations: DataFrame, times: int, idle_ms: int = 600_000) -> DataFrame:
     """(key, fingerprint, n) each time a key has shown one fingerprint `times` times running, once for each run.
 
     observations (key, seq long, fingerprint, at timestamp). Within a batch they are taken by seq. State is one row a
-    key and goes after `idle` of event time without news; for append mode.
+    key and goes after idle_ms of event time without news; for append mode. stability.stable_runs also asks for a least time.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -37,10 +37,10 @@ def stable_fingerprints(observations: DataFrame, times: int, idle: str = "10 min
             if n == times:
                 out.append((key[0], value, n))
         state.update((last, n))
-        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 600_000)
+        state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + idle_ms)
         yield pd.DataFrame(out, columns=["key", "fingerprint", "n"])
 
-    watermarked = observations.withWatermark("at", idle)
+    watermarked = observations.withWatermark("at", f"{idle_ms} milliseconds")
     return watermarked.groupBy("key").applyInPandasWithState(step, "key string, fingerprint string, n long", "last string, n long", "append", GroupStateTimeout.EventTimeTimeout)
 
 

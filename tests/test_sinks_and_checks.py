@@ -86,3 +86,25 @@ def test_references_that_may_be_missing(spark):
     got = {(r.path, r.subject, r.target) for r in integrity.dangling(df).collect()}
     assert got == {("field.screen_id", "f", None), ("transition.source_state_id", "t", "s"), ("ui_state.screen_id", "u", "m")}
     assert integrity.dangling(df.where("false")).count() == 0
+
+
+def test_files_and_digests(spark, tmp_path):
+    import hashlib
+
+    from pyspark.sql import functions as F
+
+    from tessella.functions import hashing
+    from tessella.operators import evidence, subsets
+    from tessella.sources import documents
+
+    for name, body in (("a_2024", "1"), ("a_2025", "2"), ("b_2023", "3"), ("note", "4")):
+        (tmp_path / f"{name}.json").write_text(body)
+    newest = {r.key: r.path.rsplit("/", 1)[1] for r in documents.latest_files(spark, f"{tmp_path}/*.json", r"([a-z])_\d+\.json", r"_(\d+)\.json").collect()}
+    assert newest == {"a": "a_2025.json", "b": "b_2023.json"}
+    assert {r.path.rsplit("/", 1)[1]: r.sha256 for r in documents.file_hashes(spark, f"{tmp_path}/n*.json").collect()} == {"note.json": hashlib.sha256(b"4").hexdigest()}
+    said = spark.createDataFrame([("a" * 64,), ("A" * 64,), ("a" * 63,), (None,)], "s string").select(hashing.is_digest(F.col("s")).alias("ok")).collect()
+    assert [r.ok for r in said] == [True, False, False, False]
+    sealed = evidence.sealed(spark.createDataFrame([(1, None)], "b int, a string"), "b", "a").first()
+    assert sealed.evidence_hash == hashlib.sha256(b'{"a":null,"b":1}').hexdigest()
+    items = spark.createDataFrame([("x", "Ver"), ("y", "me@example.org")], "canonical_id string, label string")
+    assert {r.canonical_id: r.ready for r in subsets.readiness(items.select("canonical_id"), items).collect()} == {"x": True, "y": False}
