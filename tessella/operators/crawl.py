@@ -116,3 +116,31 @@ def planner_order(kind: str) -> list[Column]:
         "transition": lambda: [word(c("source_state_id")), word(c("target_state_id")), word(c("event_id"))],
     }
     return [*keys[kind](), c("canonical_id")]
+
+
+def captured(screens: DataFrame, visited: DataFrame, allow: tuple[str, ...] = (), block: tuple[str, ...] = ()) -> DataFrame:
+    """screens with `capture`, what a crawl does with each screen as it comes: not_allowed by the route's prefix; visited, if
+    the route was (visited: route) or an earlier screen of it is captured or found unavailable; unavailable; or captured.
+
+    screens (seq, route, available). Routes are compared without query and fragment. A route's first allowed screen is one
+    aggregation, joined back, so routes with very many screens are no groups.
+    """
+    key = routes.route_key(F.col("route"))
+    rows = screens.withColumns({"_route": key, "_allowed": routes.is_allowed(key, allow, block)})
+    first = rows.where("_allowed").groupBy("_route").agg(F.min("seq").alias("_first"))
+    known = visited.select(routes.route_key(F.col("route")).alias("_route"), F.lit(True).alias("_known")).distinct()
+    rows = rows.join(first, "_route", "left").join(known, "_route", "left")
+    gate = F.when(~F.col("_allowed"), "not_allowed").when(F.col("_known") | (F.col("seq") > F.col("_first")), "visited").when(~F.coalesce("available", F.lit(True)), "unavailable")
+    return rows.withColumn("capture", F.coalesce(gate, F.lit("captured"))).select(*screens.columns, "capture")
+
+
+def event_results(results: DataFrame) -> DataFrame:
+    """(state_id, results, outcomes, links, buttons, inputs): what the events of each state led to. outcomes is a map of outcome
+    to number, and the counts are of the elements on the screens after them. results (state_id, outcome, links, buttons,
+    inputs: arrays, null for none)."""
+    size = lambda c: F.coalesce(F.size(c), F.lit(0))
+    of = results.groupBy("state_id", F.coalesce("outcome", F.lit("unknown")).alias("outcome")).agg(
+        F.count("*").alias("n"), *(F.sum(F.when(F.col(c).isNotNull(), size(c)).otherwise(0)).alias(c) for c in ("links", "buttons", "inputs")))
+    # a state has few outcomes
+    return of.groupBy("state_id").agg(
+        F.sum("n").alias("results"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("outcome", "n")))).alias("outcomes"), *(F.sum(c).alias(c) for c in ("links", "buttons", "inputs")))
