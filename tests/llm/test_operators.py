@@ -265,6 +265,20 @@ def brute_passages(texts, n=50):
     return set().union(*(v for v in where.values() if len(v) > 1))
 
 
+@pytest.mark.parametrize("least", [60, 200])
+def test_long_passages(spark, least):
+    """Of 60 pairs that share 260 words each none is lost, also where passages are longer than 131 words."""
+    rng = random.Random(12)
+    texts = []
+    for _ in range(60):
+        shared = words(rng, 260, 100_000)
+        texts += [f"{words(rng, rng.randrange(5, 90), 100_000)} {shared} {words(rng, 20, 100_000)}" for _ in range(2)]
+    got = {r.doc_id: r.component_id for r in passages.near_passages(docs(spark, texts), words=least).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+    with pytest.raises(ValueError):
+        passages.near_passages(docs(spark, texts), words=1 << 15)
+
+
 def test_passages(spark):
     rng = random.Random(9)
     common = words(rng, 70, 5000)
