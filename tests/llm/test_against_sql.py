@@ -19,5 +19,6 @@ def test_against_sql(spark, name):
     got, wanted = QUERIES[name](spark, SF).toPandas(), c.sql(ORACLES[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(wanted.columns)
-    rows = lambda d: sorted(d[columns].map(lambda v: round(float(v), 6) if isinstance(v, float) else v).itertuples(index=False, name=None), key=str)
+    filled = lambda d: d[columns].astype(object).where(d[columns].notna(), None)
+    rows = lambda d: sorted(filled(d).map(lambda v: round(float(v), 6) if isinstance(v, (int, float)) and not isinstance(v, bool) else v).itertuples(index=False, name=None), key=str)
     assert rows(got) == rows(wanted)
