@@ -52,11 +52,11 @@ def crawl_first_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_QUEUE} SELECT route, depth, (rank() OVER (PARTITION BY depth ORDER BY key))::BIGINT AS turn FROM q")
 def crawl_order(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page of that crawl with its turn within its depth."""
+    """Every page of that crawl with its turn within its depth; pages that the queue's keys do not tell apart share one."""
     from pyspark.sql import Window
 
     found = frontier.explored(_start(spark, "/"), _routes(spark, sf), most_depth=3).found
-    return found.select(F.col("id").alias("route"), "depth", F.rank().over(Window.partitionBy("depth").orderBy("wave", "place")).cast("long").alias("turn"))
+    return found.select(F.col("id").alias("route"), "depth", F.rank().over(Window.partitionBy("depth").orderBy("wave", "rank")).cast("long").alias("turn"))
 
 
 @query("""

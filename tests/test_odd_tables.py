@@ -45,3 +45,10 @@ def test_intents_of_ascii_words(against_sql):
     said = ["Ración. El ócreado es", "Quiero crear algo", "la búsqueda", "una página", "RECREAR", "veo un campo"]
     got = against_sql("answer_intents", conversations=[{"conv_id": i, "turn": 0, "role": "user", "text": t} for i, t in enumerate(said)])
     assert got["intent"].notna().sum() == 3
+
+
+def test_turns_of_pages_that_keys_do_not_tell_apart(against_sql):
+    customers = [{"c_custkey": k, "c_nationkey": 0} for k in (5, 10012, 20019, 7)]
+    orders = [{"o_orderkey": i, "o_custkey": (10012, 5)[i % 2]} for i in range(10)]
+    got = against_sql("crawl_order", nation=[{"n_nationkey": 0}], customer=customers, orders=orders)
+    assert got.groupby(["depth", "turn"]).size().max() > 1
