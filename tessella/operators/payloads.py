@@ -94,7 +94,8 @@ def structures(items: DataFrame) -> Structures:
     A child belongs to the screen that its payload names, a column to its table and so to its table's screen, a transition to
     the screens of its states: it needs one state that is sound and, if it names a control, one that is sound. Items that
     don't fit are warnings. Parsed payloads are written once, as each type reads them. Tables without a name are called Tabla. Null and broken payloads are warnings, other types are
-    not looked at, an empty table gives nothing.
+    not looked at, an empty table gives nothing. All that is joined here grows with the items, and Spark, which goes by the
+    size of compressed files, would send it through the driver: joins are merges.
     """
     rows = written_once(opened(items.select("canonical_id", "entity_type", "payload")).withColumn("screen_id", value("doc", "screen_id")), "payloads")
     fits = {k: typed(rows.where(F.col("entity_type") == k), fields) for k, fields in STRUCTURE.items()}
@@ -108,15 +109,15 @@ def structures(items: DataFrame) -> Structures:
     tables = fits["table"].rows.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.lit("Tabla")))
     parts.append(child(tables, "table", F.col("name")))
     # a column's screen is its table's, also of one whose name does not fit
-    homes = rows.where("entity_type = 'table' and screen_id is not null").select(F.col("canonical_id").alias("table_id"), F.col("screen_id").alias("home"))
+    homes = rows.where("entity_type = 'table' and screen_id is not null").select(F.col("canonical_id").alias("table_id"), F.col("screen_id").alias("home")).hint("merge")
     columns = fits["table_column"].rows.join(homes, "table_id").withColumn("screen_id", F.col("home"))
     parts.append(child(columns, "table_column", F.col("name"), F.col("table_id")))
-    states = rows.where("entity_type = 'ui_state' and screen_id is not null").select(F.col("canonical_id").alias("state"), F.col("screen_id").alias("home"))
-    sound = fits["ui_state"].rows.select(F.col("canonical_id").alias("state"), F.lit(True).alias("sound"))
-    controls = fits["control"].rows.select(F.col("canonical_id").alias("trigger_control_id"), F.col("screen_id").alias("home"), F.lit(True).alias("known"))
+    states = rows.where("entity_type = 'ui_state' and screen_id is not null").select(F.col("canonical_id").alias("state"), F.col("screen_id").alias("home")).hint("merge")
+    sound = fits["ui_state"].rows.select(F.col("canonical_id").alias("state"), F.lit(True).alias("sound")).hint("merge")
+    controls = fits["control"].rows.select(F.col("canonical_id").alias("trigger_control_id"), F.col("screen_id").alias("home"), F.lit(True).alias("known")).hint("merge")
     raw = rows.where("entity_type = 'transition'").withColumns({c: value("doc", c) for c in ("source_state_id", "target_state_id")})
     ends = raw.select("canonical_id", F.explode(F.array_distinct(F.array_compact(F.array("source_state_id", "target_state_id")))).alias("state"))
-    near = ends.join(states, "state").join(sound, "state", "left").groupBy("canonical_id", "home").agg(F.max(F.coalesce("sound", F.lit(False))).alias("sound"))
+    near = ends.join(states, "state").join(sound, "state", "left").groupBy("canonical_id", "home").agg(F.max(F.coalesce("sound", F.lit(False))).alias("sound")).hint("merge")
     moves = fits["transition"].rows.drop("screen_id").join(near, "canonical_id").join(controls, ["trigger_control_id", "home"], "left")
     ok = F.col("sound") & (F.col("trigger_control_id").isNull() | F.coalesce("known", F.lit(False)))
     parts.append(child(moves.where(ok).withColumn("screen_id", F.col("home")), "transition", F.col("category")))

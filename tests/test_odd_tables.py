@@ -59,3 +59,13 @@ def test_keys_of_a_million_and_more(against_sql, name):
     lines = [(3, 3, 5), (3, 1, 2_500_001), (7, 1, 1), (7, 3, 2), (11, 3, 1_000_003), (11, 4, 3), (15, 4, 4), (15, 3, 1_500_000), (19, 1, 1)]
     got = against_sql(name, orders=[{"o_orderkey": k} for k in (3, 7, 11, 15, 19, 23)], lineitem=[dict(zip(("l_orderkey", "l_linenumber", "l_partkey"), x, strict=True)) for x in lines])
     assert 0 < len(got)
+
+
+def test_structures_are_not_sent_through_the_driver(spark):
+    from tessella.operators import payloads
+
+    items = spark.createDataFrame([("s", "ui_state", '{"screen_id": "p", "title": "t"}'), ("m", "transition", '{"category": "c", "source_state_id": "s"}')], "canonical_id string, entity_type string, payload string")
+    found = payloads.structures(items)
+    for part in found:
+        assert "Broadcast" not in part._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in found.children.collect()) == ["m", "s"]
