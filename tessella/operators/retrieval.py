@@ -141,11 +141,16 @@ def plans(questions: DataFrame, found: DataFrame, edges: DataFrame, aliases: dic
     c = F.col
     label = text.question_key(c("target_label"))
     rows = edges.join(asked.select("question_id", "key", "focal"), "question_id")
+    # whose columns are asked for is a join: within a question's relations it would be a search for each of them
+    tables = rows.where("type = 'HAS_TABLE' and source = focal").select("question_id", c("target").alias("source"), F.lit(True).alias("_table")).distinct()
+    rows = rows.join(tables, ["question_id", "source"], "left")
     searches = reduce(lambda a, b: a | b, [F.contains(label, F.lit(w)) for w in ("buscar", "search", "filtrar", "filtro")])
     lists = reduce(lambda a, b: a | b, [F.contains(label, F.lit(w)) for w in ("buscar", "search", "filtro")])
     at = c("source") == c("focal")
-    item = F.struct("seq", "type", "source", "target", "source_label", "target_label", (at & F.lit(True)).alias("at"), mentioned(c("key"), label, aliases).alias("named"), searches.alias("searches"), lists.alias("lists"))
-    every = rows.groupBy("question_id").agg(F.array_sort(F.collect_list(item)).alias("rels"))
+    item = F.struct("seq", "type", "source", "target", "source_label", "target_label", (at & F.lit(True)).alias("at"), mentioned(c("key"), label, aliases).alias("named"), searches.alias("searches"), lists.alias("lists"), ((c("type") == "HAS_COLUMN") & c("_table").isNotNull()).alias("column"))
+    # few bytes, much work: a given number of partitions is not merged to one task
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "question_id")
+    every = dealt.groupBy("question_id").agg(F.sort_array(F.collect_list(item)).alias("rels"))
     q = asked.join(every, "question_id", "left").withColumn("rels", F.coalesce("rels", F.array().cast(every.schema["rels"].dataType)))
     pick = lambda p: F.filter("rels", p)
     first = lambda xs: F.try_element_at(xs, F.lit(1))
@@ -154,13 +159,12 @@ def plans(questions: DataFrame, found: DataFrame, edges: DataFrame, aliases: dic
     q = q.withColumns({
         "f_at": pick(lambda r: kind(r, "HAS_FIELD") & r["at"]), "f_named": pick(lambda r: kind(r, "HAS_FIELD") & r["named"]), "f_both": pick(lambda r: kind(r, "HAS_FIELD") & r["at"] & r["named"]),
         "c_at": pick(lambda r: kind(r, "HAS_CONTROL") & r["at"]), "c_named": pick(lambda r: kind(r, "HAS_CONTROL") & r["named"]), "s_named": pick(lambda r: kind(r, "HAS_SCREEN") & r["named"]),
-        "t_at": F.transform(pick(lambda r: kind(r, "HAS_TABLE") & r["at"]), lambda r: r["target"]), "moves": pick(lambda r: kind(r, "HAS_EVENT", "FROM_STATE", "TO_STATE", "TRIGGERED_BY")), "acts": pick(lambda r: kind(r, "HAS_CONTROL", "HAS_EVENT", "TRIGGERED_BY")),
+        "moves": pick(lambda r: kind(r, "HAS_EVENT", "FROM_STATE", "TO_STATE", "TRIGGERED_BY")), "acts": pick(lambda r: kind(r, "HAS_CONTROL", "HAS_EVENT", "TRIGGERED_BY")),
     })
     words = F.regexp_extract_all(F.lower("question"), F.lit(r"(?U)([\wáéíóúñ]+)"), 1)
     labels = F.transform("acts", lambda r: r["target_label"])
     stems = [_some(words, f"^{stem}") & _some(labels, "|".join(terms)) for stem, terms in STEM_SUPPORT.items()]
-    table_columns = pick(lambda r: kind(r, "HAS_COLUMN") & F.array_contains(F.col("t_at"), r["source"]))
-    q = q.withColumn("cols", table_columns).withColumn("search", first(F.filter("c_at", lambda r: r["searches"])))
+    q = q.withColumn("cols", pick(lambda r: r["column"])).withColumn("search", first(F.filter("c_at", lambda r: r["searches"])))
     q = q.withColumn("beside", F.coalesce(first(F.filter("c_at", lambda r: r["named"] | r["lists"])), F.when(F.size("c_at") == 1, first(c("c_at")))))
     field = first(c("f_named"))
     home = first(pick(lambda r: kind(r, "HAS_SCREEN") & (r["target"] == field["source"])))
