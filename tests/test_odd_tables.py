@@ -69,3 +69,15 @@ def test_structures_are_not_sent_through_the_driver(spark):
     for part in found:
         assert "Broadcast" not in part._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.id for r in found.children.collect()) == ["m", "s"]
+
+
+def test_columns_of_a_questions_tables_come_by_a_join(spark):
+    from tessella.operators import retrieval
+
+    questions = spark.createDataFrame([(1, "columnas de la tabla", "columnas de la tabla", "LIST_COLUMNS")], "question_id int, question string, key string, intent string")
+    found = spark.createDataFrame([(1, "s", "screen", "S")], "question_id int, canonical_id string, entity_type string, safe_label string")
+    rels = [(1, 1, "s", "HAS_TABLE", "t", "S", "T"), (1, 2, "t", "HAS_COLUMN", "c", "T", "C"), (1, 3, "other", "HAS_COLUMN", "d", "O", "D")]
+    edges = spark.createDataFrame(rels, "question_id int, seq int, source string, type string, target string, source_label string, target_label string")
+    planned = retrieval.plans(questions, found, edges)
+    assert "array_contains" not in planned._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.supported, r.evidence) for r in planned.collect()] == [(True, ["t", "c"])]
