@@ -155,6 +155,11 @@ def grounding_plan(references: DataFrame) -> DataFrame:
     return named.groupBy("screen_id", "action").agg(F.when(direct, "direct").otherwise("prudent_only").alias("support"), F.array_sort(F.collect_set("ref")).alias("refs"))
 
 
+def reference_error(refs: Column, allowed: Column) -> Column:
+    """What is wrong with a claim's references alone, whatever it says, or null: none or unknown ones."""
+    return F.when(F.coalesce(F.size(refs), F.lit(0)) <= 0, "missing_reference").when(F.size(F.array_except(refs, allowed)) > 0, "unknown_reference")
+
+
 def claim_error(statement: Column, refs: Column, allowed: Column, planned: Column) -> Column:
     """The first thing wrong with a claim, or null: no or unknown references, an action that the plan lacks, a mutative
     one without its reference, an absolute denial."""
@@ -162,7 +167,7 @@ def claim_error(statement: Column, refs: Column, allowed: Column, planned: Colum
     acts = actions_in(key)
     says = lambda ps: F.exists(F.array(*map(F.lit, ps)), lambda p: F.contains(key, p))
     return (
-        F.when(F.coalesce(F.size(refs), F.lit(0)) <= 0, "missing_reference").when(F.size(F.array_except(refs, allowed)) > 0, "unknown_reference")
+        reference_error(refs, allowed)
         .when(F.size(F.array_except(acts, planned)) > 0, F.when(F.size(F.array_intersect(F.array_except(acts, planned), F.array(*map(F.lit, MUTATIVE)))) > 0, "unsupported_mutative_action").otherwise("unsupported_action"))
         .when(says(NEGATIVE) & ~says(EPISTEMIC), "absolute_negative")
     )

@@ -81,3 +81,20 @@ def test_columns_of_a_questions_tables_come_by_a_join(spark):
     planned = retrieval.plans(questions, found, edges)
     assert "array_contains" not in planned._jdf.queryExecution().optimizedPlan().toString()
     assert [(r.supported, r.evidence) for r in planned.collect()] == [(True, ["t", "c"])]
+
+
+def test_claims_by_their_references_alone(against_sql):
+    """What a turn says, an action that changes data or a denial, is no part of the SQL."""
+    said = ["Quiero borrar todo", "no existe nada", "ver esto"]
+    got = against_sql("claim_validation", conversations=[{"conv_id": i, "turn": turn, "role": "user", "text": s} for i, s in enumerate(said) for turn in (1, 2, 3, 5)])
+    assert got[got["turn"] < 3]["error"].isna().all()
+
+
+def test_claims_with_their_words(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.operators import evidence
+
+    rows = spark.createDataFrame([("borrar", ["a"]), ("buscar", ["a"]), ("ver esto", ["a"]), ("borrar", []), ("borrar", ["b"]), ("ver", None)], "said string, refs array<string>")
+    got = rows.select(evidence.claim_error(F.col("said"), F.col("refs"), F.array(F.lit("a")), F.array(F.lit("view"))).alias("e")).collect()
+    assert [r.e for r in got] == ["unsupported_mutative_action", "unsupported_action", None, "missing_reference", "unknown_reference", "missing_reference"]
