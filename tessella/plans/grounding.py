@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.operators import grounding
 from tessella.plans.registry import query
 from tessella.session import load
+from tessella.sources.shared import dealt
 
 #: What a screen's first capability says, what it refers to, and what is wrong with it.
 CLAIMS = (
@@ -43,7 +44,8 @@ def _case(values: list, k: str) -> str:
 def _described(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Statements, index, plan and screens: the screen's title is the part's name, its table's name the part's brand."""
     k, none = F.col("screen_id"), F.lit(None).cast("string")
-    screens = load(spark, sf, "part").select(F.col("p_partkey").alias("screen_id"), F.col("p_name").alias("title"), F.concat(F.lit("module:"), F.col("p_size").cast("string")).alias("module_id"), F.lit("Catalogo").alias("module"), "p_brand")
+    parts = dealt(load(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_brand"), "p_partkey")  # a part makes some twenty rows
+    screens = parts.select(F.col("p_partkey").alias("screen_id"), F.col("p_name").alias("title"), F.concat(F.lit("module:"), F.col("p_size").cast("string")).alias("module_id"), F.lit("Catalogo").alias("module"), "p_brand")
     child = lambda ref, kind, label, mutative, decision: F.struct(
         F.lit(ref).alias("ref"), F.lit(kind).alias("kind"), label.alias("label"), none.alias("category"), F.lit(mutative).cast("boolean").alias("mutative"), F.lit(decision).cast("string").alias("decision"))
     controls = [child(ref, "control", F.lit(label), m, d) for ref, label, m, d in CONTROLS]

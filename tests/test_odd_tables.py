@@ -98,3 +98,9 @@ def test_claims_with_their_words(spark):
     rows = spark.createDataFrame([("borrar", ["a"]), ("buscar", ["a"]), ("ver esto", ["a"]), ("borrar", []), ("borrar", ["b"]), ("ver", None)], "said string, refs array<string>")
     got = rows.select(evidence.claim_error(F.col("said"), F.col("refs"), F.array(F.lit("a")), F.array(F.lit("view"))).alias("e")).collect()
     assert [r.e for r in got] == ["unsupported_mutative_action", "unsupported_action", None, "missing_reference", "unknown_reference", "missing_reference"]
+
+
+@pytest.mark.parametrize("name", ["safe_properties", "action_checks", "reference_counts", "capability_errors", "description_errors", "capability_support"])
+def test_rows_are_dealt_before_their_texts_are_checked(spark, name):
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
