@@ -144,10 +144,12 @@ def action_error(action: Column, actor: Column, source: Column, notes: Column, s
     """What is wrong with a review action, the first thing: an unknown action, no actor, one that is sensitive or too long, an
     unknown source, sensitive notes, too long ones, none where they are needed."""
     said = text.squeeze(F.coalesce(actor, F.lit("")))
-    noted = text.squeeze(F.coalesce(notes, F.lit("")))
+    rest = text.let(text.squeeze(F.coalesce(notes, F.lit(""))), lambda noted: (
+        F.when(privacy.is_sensitive(noted), "sensitive_notes").when(F.length(noted) > 4000, "notes_too_long")
+        .when(action.isin("reject", "correct", "reset") & (noted == ""), "notes_required")
+    ))
     return (
         F.when(~F.coalesce(action.isin("approve", "reject", "correct", "reset"), F.lit(False)), "unknown_action")
         .when(said == "", "invalid_actor").when(privacy.is_sensitive(said), "sensitive_actor").when(F.length(said) > 240, "invalid_actor")
-        .when(~F.coalesce(F.trim(source).isin(*sources), F.lit(False)), "invalid_source").when(privacy.is_sensitive(noted), "sensitive_notes")
-        .when(F.length(noted) > 4000, "notes_too_long").when(action.isin("reject", "correct", "reset") & (noted == ""), "notes_required")
+        .when(~F.coalesce(F.trim(source).isin(*sources), F.lit(False)), "invalid_source").otherwise(rest)
     )
