@@ -12,7 +12,7 @@ from tessella.operators import audits, crawl, drafts, relations
 from tessella.plans.base import ENTITIES, entities
 from tessella.plans.registry import query
 from tessella.session import load
-from tessella.sources.shared import written_once
+from tessella.sources.shared import dealt, written_once
 
 _ITEMS = """i AS (SELECT p_partkey % 40 AS screen, p_partkey AS seq, (['Ventas', ' ventas ', 'Compras  y pagos', '', 'Menu de navegación', 'x', 'Inicio'])[(p_partkey % 7 + 1)::INT] || CASE WHEN p_partkey % 13 = 0 THEN repeat('y', 90) ELSE '' END AS t,
   (['nav-group', 'NAV-ITEM', 'div'])[(p_partkey % 3 + 1)::INT] AS tag, 's' || p_partkey AS selector FROM part)"""
@@ -227,7 +227,7 @@ def safe_properties(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     note = F.when(k % 3 == 0, "mail me@example.org").when(k % 3 == 1, F.repeat(F.lit("ab "), 200)).otherwise("fine")
     kept = privacy.safe_metadata(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("Token"), F.lit("x"), F.lit("note"), note))
-    return load(spark, sf, "part").select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("kept"))
+    return dealt(load(spark, sf, "part").select("p_partkey", "p_brand"), "p_partkey").select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_entries(kept)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("kept"))
 
 
 @query("""
