@@ -9,6 +9,7 @@ from tessella.operators import documents, projection
 from tessella.plans.base import ENTITIES, entities
 from tessella.plans.registry import query
 from tessella.session import load
+from tessella.sources.shared import written_once
 
 
 
@@ -40,7 +41,9 @@ _EDGES = f"ok AS (SELECT * FROM ent WHERE {_GOOD} AND NOT contains(coalesce(titl
 
 
 def projected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    kept = projection.nodes(entities(spark, sf), scope()).where("error is null")
+    """(nodes, edges); what nodes say is checked once, and their ids and references are written."""
+    references = sorted({c for edges in projection.EDGES.values() for edge in edges for c in edge[1:]})
+    kept = written_once(projection.nodes(entities(spark, sf), scope()).where("error is null").select("entity_type", "source_entity_type", *references), "nodes")
     return kept, projection.split_edges(projection.candidate_edges(kept), kept)
 
 
@@ -63,9 +66,10 @@ WITH {ENTITIES}, {_EDGES} SELECT (SELECT count(*) FROM ok) AS nodes, (SELECT cou
 def projection_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of the plan, and that its digest doesn't depend on the order of rows or partitions."""
     kept, edges = projected(spark, sf)
-    keys = projection.keyed_edges(edges.where("skipped is null"), scope())
+    edges = written_once(edges, "edges")
+    keys = written_once(projection.keyed_edges(edges.where("skipped is null"), scope()), "keys")
     one = projection.digest_of(keys, "relationship_key")
-    again = projection.digest_of(keys.repartition(3).orderBy(F.desc("relationship_key")), "relationship_key").select(F.col("digest").alias("other"))
+    again = projection.digest_of(keys.repartition("target_key").sortWithinPartitions(F.desc("relationship_key")), "relationship_key").select(F.col("digest").alias("other"))
     count = kept.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count_if(F.col("skipped").isNotNull()).alias("skipped")))  # one row each
     return count.crossJoin(one).crossJoin(again).select("nodes", F.col("n").alias("relationships"), "skipped", (F.col("digest") == F.col("other")).alias("same_digest"))
 
