@@ -70,8 +70,11 @@ def relations(walks: DataFrame, entities: DataFrame) -> DataFrame:
     known = entities.select("canonical_id", "safe_label", "entity_type")
     side = lambda k: known.select(F.col("canonical_id").alias(k), F.col("safe_label").alias(f"{k}_label"), F.col("entity_type").alias(f"{k}_type"))
     both = steps.join(side("source"), "source", "left").join(side("target"), "target", "left")
-    good = both.groupBy("question_id", "path_id").agg(F.bool_and(F.col("source_type").isNotNull() & F.col("target_type").isNotNull()).alias("ok")).where("ok").drop("ok")
-    kept = both.join(good, ["question_id", "path_id"], "left_semi")
+    # a path has few steps: they are gathered with what is known of all, so that the joins above are not made twice
+    paths = both.groupBy("question_id", "path_id").agg(
+        F.bool_and(F.col("source_type").isNotNull() & F.col("target_type").isNotNull()).alias("ok"),
+        F.collect_list(F.struct("seq", "p", "source", "type", "target", "source_label", "target_label", "source_type", "target_type")).alias("steps"))
+    kept = paths.where("ok").select("question_id", F.inline("steps"))
     one = kept.groupBy("question_id", "source", "type", "target").agg(F.min(F.struct("seq", "p")).alias("o"), *[F.first(c).alias(c) for c in ("source_label", "target_label", "source_type", "target_type")])
     return one.withColumn("seq", F.row_number().over(Window.partitionBy("question_id").orderBy("o"))).drop("o")
 

@@ -57,7 +57,7 @@ def approved(spark: SparkSession, sf: str) -> DataFrame:
 def walked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(hits, walks): a question is about the screen with its number; walks go one step, or two through tables and events."""
     q = questions(spark, sf).select("question_id", F.concat(F.lit("screen:"), "question_id").alias("id"))
-    edges = projection.candidate_edges(entities(spark, sf)).where("type <> 'TARGETS' and type <> 'HAS_EVIDENCE'").distinct()
+    edges = written_once(projection.candidate_edges(entities(spark, sf)).where("type <> 'TARGETS' and type <> 'HAS_EVIDENCE'").distinct(), "edges")
     edge = F.struct("source", "type", "target")
     path = F.concat_ws("|", "source", "type", "target")
     out = q.join(edges, F.col("id") == F.col("source")).select("question_id", path.alias("path_id"), F.col("target").alias("ends"), F.array(edge).alias("edges"))
@@ -70,11 +70,16 @@ def walked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return seeds.union(fields), every
 
 
-def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _known(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(hits, walks, approved entities), the last two written once, with no more columns than retrieval reads."""
     hits, walks = walked(spark, sf)
-    walks, known = written_once(walks, "walks"), written_once(approved(spark, sf), "approved")
+    return hits, written_once(walks, "walks"), written_once(approved(spark, sf).select("canonical_id", "entity_type", "safe_label", "route"), "approved")
+
+
+def retrieved(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    hits, walks, known = _known(spark, sf)
     found = written_once(retrieval.sources(retrieval.candidate_ids(hits, walks), hits, walks, known), "sources")
-    return found, written_once(retrieval.relations(walks, known), "relations"), hits
+    return found, written_once(retrieval.relations(walks, known), "relations"), hits, known
 
 
 _ROUTED = """first AS (SELECT question_id, target, min_by(source, seq) AS source FROM rel WHERE type IN ('HAS_FIELD', 'HAS_CONTROL', 'HAS_TABLE') GROUP BY ALL),
@@ -84,13 +89,15 @@ routed AS (SELECT s.* REPLACE (coalesce(s.route, r.route) AS route) FROM src s L
 @query(f"WITH {_BASE}, {_ROUTED} SELECT question_id, place, canonical_id, safe_label, route, origin, score FROM routed")
 def retrieved_sources(spark: SparkSession, sf: str) -> DataFrame:
     """What search and graph found for each question, approved only, with routes filled from their screens."""
-    found, edges, _ = retrieved(spark, sf)
+    found, edges, *_ = retrieved(spark, sf)
     return retrieval.with_routes(found, edges).select("question_id", "place", "canonical_id", "safe_label", "route", "origin", "score")
 
 
 @query(f"WITH {_BASE} SELECT question_id, seq, source, type, target, source_label, target_label FROM rel")
 def retrieved_relations(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieved(spark, sf)[1].select("question_id", "seq", "source", "type", "target", "source_label", "target_label")
+    """Sources are not looked for."""
+    _, walks, known = _known(spark, sf)
+    return retrieval.relations(walks, known).select("question_id", "seq", "source", "type", "target", "source_label", "target_label")
 
 
 _FACTS = "CASE type WHEN 'HAS_SCREEN' THEN 'El ' || CASE source_type WHEN 'erp_system' THEN 'ERP' WHEN 'module' THEN 'módulo' ELSE source_type END || ' \"' || source_label || '\" contiene la pantalla \"' || target_label || '\".' " + " ".join(
@@ -105,8 +112,8 @@ SELECT question_id, substr('COINCIDENCIAS SEMÁNTICAS' || chr(10) || coalesce(h,
 FROM h FULL JOIN s USING (question_id) FULL JOIN f USING (question_id)
 """)
 def retrieval_contexts(spark: SparkSession, sf: str) -> DataFrame:
-    found, edges, hits = retrieved(spark, sf)
-    named = hits.join(approved(spark, sf).select("canonical_id", "entity_type", "safe_label"), "canonical_id")
+    found, edges, hits, known = retrieved(spark, sf)
+    named = hits.join(known.select("canonical_id", "entity_type", "safe_label"), "canonical_id")
     return retrieval.contexts(found, named, edges)
 
 
@@ -157,7 +164,7 @@ SELECT question_id, intent, supported, answer, coalesce({_FIRSTS}, '') AS eviden
 """)
 def grounded_plans(spark: SparkSession, sf: str) -> DataFrame:
     """Deterministic answers for eight intents, and what supports them."""
-    found, edges, _ = retrieved(spark, sf)
+    found, edges, *_ = retrieved(spark, sf)
     return retrieval.plans(questions(spark, sf), found, edges, ALIASES).withColumn("evidence", F.array_join("evidence", ","))
 
 
@@ -173,6 +180,6 @@ SELECT question_id, CASE WHEN supported THEN 'deterministic_graph' WHEN intent =
   CASE WHEN supported THEN answer WHEN intent = 'MUTATIVE_ACTION' OR lacking THEN 'No encontré conocimiento validado suficiente para responder esa pregunta.' END AS answer FROM z
 """)
 def grounded_answers(spark: SparkSession, sf: str) -> DataFrame:
-    found, edges, _ = retrieved(spark, sf)
+    found, edges, *_ = retrieved(spark, sf)
     asked = questions(spark, sf)
     return retrieval.outcomes(retrieval.plans(asked, found, edges, ALIASES), asked, found).select("question_id", "answer_mode", "answer")

@@ -104,3 +104,23 @@ def test_claims_with_their_words(spark):
 def test_rows_are_dealt_before_their_texts_are_checked(spark, name):
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_relations_do_not_join_their_paths_again(spark):
+    from tessella.operators import retrieval
+
+    known = spark.createDataFrame([("s", "S", "screen"), ("t", "T", "table"), ("f", "F", "field")], "canonical_id string, safe_label string, entity_type string")
+    edge = lambda a, b: {"source": a, "type": "HAS", "target": b}
+    walks = [(1, "a", 1, "t", [edge("s", "t")]), (1, "b", 2, "x", [edge("s", "f"), edge("f", "x")]), (1, "c", 3, "f", [edge("s", "t"), edge("t", "f")])]
+    walks = spark.createDataFrame(walks, "question_id int, path_id string, seq int, ends string, edges array<struct<source:string,type:string,target:string>>")
+    found = retrieval.relations(walks, known)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    assert [(r.seq, r.source, r.target, r.source_label, r.target_type) for r in found.orderBy("seq").collect()] == [(1, "s", "t", "S", "table"), (2, "t", "f", "T", "field")]
+
+
+def test_nodes_are_checked_once(spark):
+    from tessella.plans import publishing
+
+    kept, edges = publishing.projected(spark, "/root/testdata/sf0.001")
+    assert "RLIKE" not in edges._jdf.queryExecution().optimizedPlan().toString()
+    assert set(kept.columns) >= {"canonical_id", "entity_type"}
