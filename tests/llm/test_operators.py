@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,6 +373,45 @@ def test_passages_of_common_lines(spark, monkeypatch, tile):
     assert all(r.n_component == sum(q.component_id == r.component_id for q in got.values()) for r in got.values())
 
 
+def test_windows_of_a_tile_are_compared_together(monkeypatch):
+    """80 windows that share most of their places, but no passage with most of the others: some passes, not one for each of
+    3160 pairs, and what is found is what two windows alone give."""
+    rng = np.random.default_rng(4)
+    lines = rng.integers(0, 1 << 32, (40, 20), dtype=np.uint32)
+    h = [np.concatenate([lines[k] for k in rng.permutation(40)[:25]]) for _ in range(80)]
+    for k in range(0, 80, 8):
+        h[k + 1][100:170] = h[k][30:100]
+    frame = pd.DataFrame({"signature": 1, "lo": 0, "hi": 0, "part": 0, "tid": range(80), "component": range(80), "covered": False, "l": 0, "c": 500, "h": [x.tobytes() for x in h]})
+    calls, alike = [], passages.alike
+    monkeypatch.setattr(passages, "alike", lambda *a: calls.append(1) or alike(*a))
+    found = passages.compare_tile(frame, 80, 50)
+    assert 0 < len(calls) < 40
+    words = lambda rows, k: {w for a, _, p, _ in rows if a == k for s in p for w in range(s["start"], s["end"])}
+    pairs = [passages.compare_tile(frame.iloc[[j, i]], 80, 50) for i in range(80) for j in range(i)]
+    for k in range(80):
+        assert words(found, k) == words([r for rows in pairs for r in rows], k)
+    edges = [np.array([(a, b) for a, b, _, _ in rows if a != b]).T for rows in (found, [r for rows in pairs for r in rows])]
+    one, other = (common.forest(*e) for e in edges)
+    assert all((x == y).all() for x, y in zip(one, other, strict=True)) and len(one[0]) >= 10
+
+
+def test_windows_of_texts_are_those_of_each():
+    rng = random.Random(8)
+    texts = [None, "", "short", words(rng, 300, 900), ("a b c d e f g h " * 40), "é ü " * 90, words(rng, 70, 50) + " " + "x" * 200 + " " + "x" * 199 + "y " + words(rng, 60, 50), words(rng, 46, 9000)]
+    whole = passages.shingle_hashes(texts)
+    alone = [passages.shingle_hashes([t]) for t in texts]
+    assert whole[1].tolist() == [int(s[0]) for _, s in alone] == [max(len((t or "").split()) - 4, 0) for t in texts]
+    assert (whole[0] == np.concatenate([h for h, _ in alone])).all()
+    by_words = {}
+    for t, (h, _) in zip(texts, alone, strict=True):
+        w = (t or "").split()
+        for k, x in enumerate(h.tolist()):
+            assert by_words.setdefault(x, w[k : k + 5]) == w[k : k + 5]
+    assert len(by_words) == len({tuple(w) for w in by_words.values()})
+    rows = {tuple(int(v) for v in r) for r in zip(*passages.windows_of(*whole, 46, 0), strict=True)}
+    assert rows == {(i, int(k), int(p)) for i, (h, s) in enumerate(alone) for _, k, p in zip(*passages.windows_of(h, s, 46, 0), strict=True)} and rows
+
+
 def test_compact_windows_cover_each_subsequence_once():
     rng = np.random.default_rng(3)
     for _ in range(100):
