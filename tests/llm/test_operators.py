@@ -609,3 +609,20 @@ def test_connected(spark):
             p, q = find(a), find(b)
             parent[max(p, q)] = min(p, q)
     assert got == {a: find(a) for a in parent}
+
+
+@pytest.mark.parametrize("overlap", [25, 32])
+def test_passages_that_overlap_in_one_text(spark, overlap):
+    """Of three texts, one shares its start with the second and its end with the third, which share less with each other:
+    equal passages agree on every hash, so none is lost, whoever meets whom first."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(400):
+        shared = [f"w{rng.randrange(10**9)}" for _ in range(100 - overlap)]
+        fill = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(30))
+        texts += [f"{fill()} {' '.join(part)} {fill()}" for part in (shared, shared[:50], shared[-50:])]
+    got = {r.doc_id: r for r in passages.near_passages(docs(spark, texts)).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {i: i - i % 3 for i in range(len(texts))}
+    assert all(r.n_component == 3 for r in got.values())
+    for i, r in got.items():
+        assert any(p.start <= 30 and p.end >= 30 + (100 - overlap if i % 3 == 0 else 50) for p in r.passages)
