@@ -82,9 +82,10 @@ def candidate_edges(entities: DataFrame) -> DataFrame:
 
 
 def split_edges(edges: DataFrame, kept: DataFrame) -> DataFrame:
-    """Edges with `skipped`: null, or endpoint_not_projected where an end isn't among kept (canonical_id)."""
+    """Edges with `skipped`: null, or endpoint_not_projected where an end isn't among kept (canonical_id). Files of ids are far
+    smaller than their rows, so a plan by their bytes would send all of them to the driver: both joins are merges."""
     ids = kept.select("canonical_id").distinct()
-    side = lambda k: ids.select(F.col("canonical_id").alias(k), F.lit(True).alias(f"_{k}"))
+    side = lambda k: ids.select(F.col("canonical_id").alias(k), F.lit(True).alias(f"_{k}")).hint("merge")
     both = edges.join(side("source"), "source", "left").join(side("target"), "target", "left")
     return both.withColumn("skipped", F.when(F.col("_source").isNull() | F.col("_target").isNull(), "endpoint_not_projected")).drop("_source", "_target")
 

@@ -124,3 +124,10 @@ def test_nodes_are_checked_once(spark):
     kept, edges = publishing.projected(spark, "/root/testdata/sf0.001")
     assert "RLIKE" not in edges._jdf.queryExecution().optimizedPlan().toString()
     assert set(kept.columns) >= {"canonical_id", "entity_type"}
+
+
+def test_ids_of_nodes_are_not_broadcast(spark):
+    from tessella.plans import publishing
+
+    edges = publishing.projected(spark, "/root/testdata/sf0.001")[1]
+    assert "Broadcast" not in edges._jdf.queryExecution().executedPlan().toString()
