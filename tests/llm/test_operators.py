@@ -626,3 +626,14 @@ def test_passages_that_overlap_in_one_text(spark, overlap):
     assert all(r.n_component == 3 for r in got.values())
     for i, r in got.items():
         assert any(p.start <= 30 and p.end >= 30 + (100 - overlap if i % 3 == 0 else 50) for p in r.passages)
+
+
+def test_parts_of_ranges_that_are_not_alike_as_a_whole():
+    rng = random.Random(5)
+    one = words(rng, 133, 10**6).split()
+    other = [*one[:27], "x", "y", "z", *one[30:86], *one[87:91], "u", *one[92:]]
+    h, size = passages.shingle_hashes([" ".join(one), " ".join(other)])
+    a, b = (x.astype(np.uint32) for x in np.split((h >> np.uint64(32)), [size[0]]))
+    names = passages.distinct(b)
+    found = passages.alike(a, size[:1], passages.numbered(names, a), b, np.searchsorted(names, b), np.array([0]), size[1:], len(names), 80, 50)
+    assert {k for _, s, e, _, _ in found.tolist() for k in range(s, e)} >= set(range(30, 131))
